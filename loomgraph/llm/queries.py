@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, packing, sentencepiece_codec
+from . import audio, packing, sentencepiece_codec, suffix_dedup
 from .common import table
 
 TOKENIZERS = Path("/opt/tokenizers")
@@ -27,8 +27,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_audio, op6_sentencepiece, op7_packing)}
+    return {f.__name__: f for f in (op5_audio, op6_sentencepiece, op7_packing, op8_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
