@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, packing, sentencepiece_codec, simhash, suffix_dedup
+from . import audio, packing, sentencepiece_codec, simhash, suffix_dedup, toxicity
 from .common import table
 
 TOKENIZERS = Path("/opt/tokenizers")
@@ -15,6 +15,10 @@ PIECE_MODEL = str(TOKENIZERS / "piece_bpe_32k.model")
 BYTE_BPE = str(TOKENIZERS / "byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op5_audio, op6_sentencepiece, op7_packing, op8_suffix_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op5_audio, op6_sentencepiece, op7_packing, op8_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, map_texts, shuffle_partitions, texts
 from .graph import components
@@ -170,3 +171,14 @@ def near_duplicates(df: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFram
     least = owned.groupBy("root").agg(F.min("least").alias("component_id"))
     of = owned.select("fp", "root").join(least, "root").select("fp", "component_id")
     return docs.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, all columns as they are, of which one of each near-duplicate group stays: the least doc_id's.
+
+    Of rows that repeat a doc_id the one with the least text stays. Rows without a doc_id can't be told apart and stay.
+    """
+    kept = near_duplicates(df).where("doc_id = component_id").select("doc_id").distinct()
+    first = Window.partitionBy("doc_id").orderBy("text")
+    one = df.join(kept, "doc_id", "left_semi").withColumn("__copy", F.row_number().over(first)).where("__copy = 1").drop("__copy")
+    return one.unionByName(df.where("doc_id IS NULL"))

@@ -287,10 +287,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def with_spans(df: DataFrame, length: int = LENGTH, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, text, spans) of every document: the byte spans to remove, not merged; null where there are none.
 
-    keep: further columns to carry along, under their own names.
+    keep: instead of doc_id, a struct ``row`` of these columns, whose names then can't clash with any of these.
     """
-    docs = texts(df) if keep is None else df.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = keyed(docs)
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    docs = keyed(texts(df) if keep is None else df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), text))
     spans = repeated_spans(docs, length).groupBy("h1", "h2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     return docs.join(spans, ["h1", "h2"], "left").drop("h1", "h2")
 
@@ -322,9 +322,7 @@ def remove_text(df: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Where a cut splits a character, the rest of that character goes too.
     """
-    from pyspark.sql.types import StructType
-
-    out = StructType([f for f in df.schema.fields])
+    out = df.schema
 
     def run(batches):
         for b in batches:
@@ -335,7 +333,8 @@ def remove_text(df: DataFrame, length: int = LENGTH) -> DataFrame:
                     parts.append(raw[at:a])
                     at = z
                 kept.append(b"".join([*parts, raw[at:]]).decode(errors="ignore"))
-            cols = {f.name: b.column(f.name) for f in out.fields if f.name not in ("text", "n_chars")}
+            row = b.column("row")
+            cols = {f.name: row.field(f.name) for f in out.fields if f.name not in ("text", "n_chars")}
             cols |= {"text": pa.array(kept, pa.string()), "n_chars": pa.array(map(len, kept), pa.int64())}
             yield pa.RecordBatch.from_arrays([cols[f.name] for f in out.fields], names=out.fieldNames())
 
