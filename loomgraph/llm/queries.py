@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, packing, sentencepiece_codec, simhash, suffix_dedup, toxicity
+from . import ann, audio, packing, sentencepiece_codec, simhash, suffix_dedup, toxicity
 from .common import table
 
 TOKENIZERS = Path("/opt/tokenizers")
@@ -39,8 +39,12 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op5_audio, op6_sentencepiece, op7_packing, op8_suffix_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op5_audio, op6_sentencepiece, op7_packing, op8_suffix_dedup, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
