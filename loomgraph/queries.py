@@ -1,19 +1,364 @@
-"""The registered code-graph queries and their SQL."""
+"""The registered code-graph queries, over the proxy index, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import ident, paths
+from .operators import evaluate, facts, graph, incremental, lookup, resolve, search
+from .plans.proxy import PREFIX, proxy
+from .schemas import CALL_ROLES, Index
+
+NAME, SEED_NAME = "cold_anvil_5", "hot_gear_1"
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register fn(index) as a query over the proxy index; sql: its SELECT after PREFIX."""
+
+    def add(fn: Callable[[Index], DataFrame]):
+        _QUERIES[fn.__name__] = lambda spark, sf_dir: fn(proxy(spark, sf_dir))
+        if sql is not None:
+            _SQL[fn.__name__] = f"{PREFIX} {sql}"
+        return fn
+
+    return add
+
+
+_EDGE = ["target", "source", "path", "s_line", "s_col", "role", "provenance", "confidence"]
+_EDGE_SQL = ", ".join(_EDGE)
+_ORDER = "ORDER BY confidence DESC, prank DESC, path, s_line, s_col, id"
+_DEF = ["name", "kind", "path", "s_line", "exported", "moniker"]
+
+
+@query(f"SELECT name, kind, path, s_line, exported, moniker FROM symbols s JOIN files f ON f.id = s.file_id WHERE name = '{NAME}' ORDER BY exported DESC, path, s_line, s_col, s.id LIMIT 20")
+def definitions(x: Index) -> DataFrame:
+    return lookup.definitions(x, NAME).select(*_DEF)
+
+
+@query("""SELECT name, kind, path, s_line, exported, moniker, CAST(rank AS INT) AS rank FROM (SELECT s.*, path, row_number() OVER (PARTITION BY name ORDER BY exported DESC, path, s_line, s_col, s.id) AS rank
+FROM symbols s JOIN files f ON f.id = s.file_id) WHERE rank <= 3""")
+def definitions_of_every_name(x: Index) -> DataFrame:
+    return lookup.top_definitions(x).select(*_DEF, "rank")
+
+
+@query("SELECT moniker, name, path FROM symbols s JOIN files f ON f.id = s.file_id WHERE moniker = (SELECT min(moniker) FROM symbols)")
+def definition_by_moniker(x: Index) -> DataFrame:
+    least = x.symbols.agg(F.min("moniker")).first()[0]
+    return lookup.definition_by_moniker(x, least).select("moniker", "name", "path")
+
+
+@query("""SELECT DISTINCT r.name, f.lang FROM refs r JOIN files f ON f.id = r.file_id
+WHERE EXISTS (SELECT 1 FROM symbols s JOIN files g ON g.id = s.file_id WHERE s.name = r.name AND g.lang = f.lang)""")
+def has_definition(x: Index) -> DataFrame:
+    wanted = lookup.with_path(x, x.refs).select("name", "lang").distinct()
+    return lookup.has_definition(x, wanted)
+
+
+@query("SELECT id, path, lang FROM files WHERE path ILIKE '%N1%.PY%' ORDER BY path LIMIT 500")
+def files_like(x: Index) -> DataFrame:
+    return lookup.files_like(x, "N1*.PY").select("id", "path", "lang")
+
+
+@query(f"SELECT {_EDGE_SQL} FROM edges WHERE target = '{NAME}' AND role IN ('call', 'reference') {_ORDER} LIMIT 20")
+def callers(x: Index) -> DataFrame:
+    return graph.callers(x, NAME).select(*_EDGE)
+
+
+@query(f"SELECT {_EDGE_SQL} FROM edges WHERE enclosing_id IN (SELECT id FROM symbols WHERE name = '{NAME}') AND role IN ('call', 'reference') {_ORDER} LIMIT 20")
+def callees(x: Index) -> DataFrame:
+    return graph.callees(x, NAME).select(*_EDGE)
+
+
+@query(f"SELECT {_EDGE_SQL} FROM edges WHERE symbol_id = (SELECT id FROM symbols ORDER BY moniker LIMIT 1) AND role IN ('call', 'reference') {_ORDER} LIMIT 20")
+def callers_by_moniker(x: Index) -> DataFrame:
+    return graph.callers(x, moniker=x.symbols.agg(F.min("moniker")).first()[0]).select(*_EDGE)
+
+
+@query(f"SELECT {_EDGE_SQL} FROM edges WHERE target = '{NAME}' {_ORDER} LIMIT 500")
+def references(x: Index) -> DataFrame:
+    return graph.references(x, NAME, limit=500).select(*_EDGE)
+
+
+@query(f"SELECT {_EDGE_SQL} FROM edges WHERE target = '{NAME}' AND role IN ('extends', 'implements') {_ORDER} LIMIT 20")
+def implementers(x: Index) -> DataFrame:
+    return graph.implementers(x, NAME).select(*_EDGE)
+
+
+@query(f"SELECT {_EDGE_SQL} FROM edges WHERE enclosing_id IN (SELECT id FROM symbols WHERE name = '{NAME}') AND role IN ('extends', 'implements') {_ORDER} LIMIT 20")
+def supertypes(x: Index) -> DataFrame:
+    return graph.supertypes(x, NAME).select(*_EDGE)
+
+
+@query(f"SELECT symbol_id, {_EDGE_SQL}, id FROM edges")
+def edge_table(x: Index) -> DataFrame:
+    return graph.edges(x).select("symbol_id", *_EDGE, "id")
+
+
+@query("""SELECT id AS symbol_id, CAST(sum(i) AS BIGINT) AS callers, CAST(sum(o) AS BIGINT) AS callees FROM (SELECT symbol_id AS id, 1 AS i, 0 AS o FROM occ WHERE role IN ('call', 'reference')
+UNION ALL SELECT enclosing_id, 0, 1 FROM occ WHERE role IN ('call', 'reference')) WHERE id IS NOT NULL GROUP BY id""")
+def totals_by_symbol(x: Index) -> DataFrame:
+    return lookup.totals_by_symbol(x, CALL_ROLES)
+
+
+_PER_NAME = """p AS (SELECT name, coalesce(definitions, 0) AS definitions, coalesce(bound, 0) AS bound, coalesce(sites, 0) AS sites FROM (SELECT name, count(*) AS definitions FROM symbols GROUP BY name)
+FULL JOIN (SELECT target AS name, count(*) AS bound FROM edges GROUP BY target) USING (name) FULL JOIN (SELECT name, count(*) AS sites FROM refs GROUP BY name) USING (name))"""
+
+
+@query(f", {_PER_NAME} SELECT name, definitions, sites FROM p WHERE definitions > 8 AND sites > 0")
+def fanout_risk(x: Index) -> DataFrame:
+    return lookup.fanout_risk(x)
+
+
+@query(f""", {_PER_NAME} SELECT name, CASE WHEN definitions = 0 THEN 'no-symbol' WHEN definitions > 8 AND bound = 0 AND sites > 0 THEN 'suppressed' ELSE 'no-edges' END AS reason, definitions, sites FROM p WHERE bound = 0""")
+def diagnose_empty(x: Index) -> DataFrame:
+    return lookup.diagnose_empty(x)
+
+
+@query("SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM occ) AS occurrences")
+def status_counts(x: Index) -> DataFrame:
+    return lookup.status_counts(x)
+
+
+@query("""SELECT symbol_id, enclosing_id, count(*) AS sites, max(confidence) AS confidence, arg_min(path, k) AS path, arg_min(s_line, k) AS s_line, arg_min(s_col, k) AS s_col
+FROM (SELECT *, struct_pack(a := -confidence, b := path, c := s_line, d := s_col, e := id) AS k FROM edges WHERE role IN ('call', 'reference') AND confidence >= 0.1) GROUP BY symbol_id, enclosing_id""")
+def impact_groups(x: Index) -> DataFrame:
+    return graph.impact_groups(x)
+
+
+@query(f"""SELECT CAST(1 AS INT) AS depth, source, enclosing_id FROM edges WHERE target = '{SEED_NAME}' AND role IN ('call', 'reference') AND confidence >= 0.1 GROUP BY source, enclosing_id""")
+def impact_direct(x: Index) -> DataFrame:
+    return graph.impact(x, SEED_NAME, depth=1, limit=500).select("depth", "source", "enclosing_id")
+
+
+@query("""SELECT DISTINCT enclosing_id AS sub, symbol_id AS base FROM occ WHERE role IN ('extends', 'implements') AND enclosing_id IS NOT NULL""")
+def hierarchy(x: Index) -> DataFrame:
+    return graph.hierarchy(x)
+
+
+@query(f""", h AS (SELECT DISTINCT enclosing_id AS sub, symbol_id AS base FROM occ WHERE role IN ('extends', 'implements') AND enclosing_id IS NOT NULL),
+r AS (SELECT id AS seed, id AS node, 0 AS distance FROM symbols WHERE name = '{NAME}' UNION SELECT seed, base, distance + 1 FROM r JOIN h ON h.sub = r.node WHERE distance < 4)
+SELECT seed, node, CAST(min(distance) AS INT) AS distance FROM r GROUP BY seed, node""")
+def supertype_chain(x: Index) -> DataFrame:
+    return graph.supertype_chain(x, x.symbols.where(F.col("name") == NAME).select(F.col("id").alias("seed")), 4)
+
+
+@query(""", e AS (SELECT DISTINCT file_id AS a, to_file AS b FROM imports), r AS (SELECT a AS s, b AS t FROM e UNION SELECT r.s, e.b FROM r JOIN e ON e.a = r.t),
+c AS (SELECT x.s AS node, min(x.t) AS least FROM r x JOIN r y ON x.s = y.t AND x.t = y.s GROUP BY x.s)
+SELECT CAST(count(*) AS INT) AS size, list(path ORDER BY path)[1] AS first_file FROM c JOIN files f ON f.id = c.node GROUP BY least""")
+def cycles(x: Index) -> DataFrame:
+    c = graph.strong_components(x.imports.select(F.col("file_id").alias("a"), F.col("to_file").alias("b")).distinct())
+    return graph.cycles(c, x.files.select(F.col("id").alias("node"), "path")).select("size", F.element_at("files", 1).alias("first_file"))
+
+
+@query("SELECT s.id, name, path FROM symbols s JOIN files f ON f.id = s.file_id WHERE lower(name) LIKE '%c%v%5%'")
+def search_subsequence(x: Index) -> DataFrame:
+    return search.subsequence_scan(x, "cv5").select("id", "name", "path")
+
+
+@query("""SELECT id, name, CASE WHEN lower(name) = 'coldanvil' THEN 0 WHEN lower(name) LIKE '%c%o%l%d%a%n%v%i%l%' THEN 1 ELSE 2 END AS tier FROM symbols""")
+def search_rerank(x: Index) -> DataFrame:
+    return x.symbols.select("id", "name", search.tier("cold_anvil", F.col("name")).alias("tier"))
+
+
+@query("""SELECT s.id, name FROM symbols s JOIN files f ON f.id = s.file_id WHERE regexp_matches(name, '(^|_)anv') OR regexp_matches(kind, '(^|[^a-z0-9])anv') OR regexp_matches(name, '(^|_)cold_an')
+OR regexp_matches(kind, '(^|[^a-z0-9])econ') OR regexp_matches(name, '(^|_)econ')""")
+def search_prefix(x: Index) -> DataFrame:
+    return search.bm25(x, "anv cold_an econ").select("id", "name")
+
+
+@query("""SELECT ref_id, symbol_id, resolution, CASE WHEN n = 1 AND base >= 0.9 THEN base ELSE base / CASE WHEN p > 0 THEN p ELSE n END END AS confidence
+FROM (SELECT *, count(*) OVER (PARTITION BY ref_id) AS n, sum(CASE WHEN resolution = 'name' THEN 0 ELSE 1 END) OVER (PARTITION BY ref_id) AS p FROM
+(SELECT r.id AS ref_id, s.id AS symbol_id, CASE WHEN s.id % 6 = 0 THEN 'import' ELSE 'name' END AS resolution, CASE WHEN s.id % 6 = 0 THEN 0.9 ELSE 0.5 END::DOUBLE AS base FROM refs r JOIN symbols s USING (name)))
+WHERE resolution <> 'name' OR (p = 0 AND n <= 8)""")
+def weight_candidates(x: Index) -> DataFrame:
+    precise = F.col("symbol_id") % 6 == 0
+    t = x.refs.select(F.col("id").alias("ref_id"), "name").join(x.symbols.select(F.col("id").alias("symbol_id"), "name"), "name")
+    t = t.select("ref_id", "symbol_id", F.when(precise, "import").otherwise("name").alias("resolution"), F.when(precise, 0.9).otherwise(0.5).alias("base"))
+    return resolve.weight_targets(t).select("ref_id", "symbol_id", "resolution", "confidence")
+
+
+_BY_NAME = """bn AS (SELECT r.id AS ref_id, s.id AS symbol_id, 'name' AS resolution, CASE WHEN f.lang <> 'typescript' AND r.arg_count > s.param_count AND NOT s.variadic THEN 0.25 ELSE 0.5 END::DOUBLE AS base,
+count(*) OVER (PARTITION BY r.id) AS n FROM refs r JOIN files f ON f.id = r.file_id JOIN symbols s ON s.name = r.name JOIN files g ON g.id = s.file_id WHERE f.lang = g.lang)"""
+_SAME_FILE = """sf AS (SELECT r.id AS ref_id, s.id AS symbol_id, 'same-file' AS resolution, 1.0::DOUBLE AS base FROM refs r JOIN symbols s ON s.name = r.name AND s.file_id = r.file_id LEFT JOIN symbols e ON e.id = r.enclosing_id
+WHERE r.receiver IS NULL OR s.owner_type = e.owner_type)"""
+
+
+@query(f", {_BY_NAME} SELECT ref_id, symbol_id, resolution, base FROM bn WHERE n <= 8")
+def name_fallback(x: Index) -> DataFrame:
+    """Language families, arity and the ninth-candidate rule."""
+    return resolve.by_name(x.refs, x)
+
+
+@query(f", {_SAME_FILE} SELECT * FROM sf")
+def same_file(x: Index) -> DataFrame:
+    return resolve.same_file(x.refs, x)
+
+
+@query(f""", {_BY_NAME}, {_SAME_FILE}, a AS (SELECT * FROM sf UNION ALL SELECT ref_id, symbol_id, resolution, base FROM bn WHERE n <= 8 AND ref_id NOT IN (SELECT ref_id FROM sf)),
+w AS (SELECT *, count(*) OVER (PARTITION BY ref_id) AS n, sum(CASE WHEN resolution = 'name' THEN 0 ELSE 1 END) OVER (PARTITION BY ref_id) AS p FROM a)
+SELECT ref_id, symbol_id, resolution, CASE WHEN n = 1 AND base >= 0.9 THEN base ELSE base / CASE WHEN p > 0 THEN p ELSE n END END AS confidence FROM w WHERE resolution <> 'name' OR (p = 0 AND n <= 8)""")
+def tier_cascade(x: Index) -> DataFrame:
+    t = resolve.cascade([resolve.same_file(x.refs, x), resolve.by_name(x.refs, x)])
+    return resolve.weight_targets(t).select("ref_id", "symbol_id", "resolution", "confidence")
+
+
+@query("""SELECT r.id AS ref_id, arg_min(s.id, (s.e_line - s.s_line) * 100000::BIGINT * 1000000 + s.id) AS enclosing_id FROM refs r JOIN symbols s ON s.file_id = r.file_id
+AND (s.s_line < r.s_line OR (s.s_line = r.s_line AND 0 <= r.s_col)) AND (r.s_line < s.e_line OR (r.s_line = s.e_line AND r.s_col <= 0)) GROUP BY r.id""")
+def enclosing_containment(x: Index) -> DataFrame:
+    return facts.enclosing(x.refs.drop("enclosing_id"), x.symbols).where("enclosing_id IS NOT NULL").select(F.col("id").alias("ref_id"), "enclosing_id")
+
+
+@query("SELECT r.id AS ref_id, s.id AS symbol_id FROM refs r JOIN symbols s ON s.file_id = r.file_id AND s.name_s_line = r.s_line AND s.name_s_col = r.s_col")
+def symbol_at_name(x: Index) -> DataFrame:
+    places = x.refs.select(F.col("id").alias("ref_id"), "file_id", F.col("s_line").alias("line"), F.col("s_col").alias("col"))
+    return lookup.symbol_at_name(x, places).select("ref_id", "symbol_id")
+
+
+@query(""", anc AS (SELECT file_id, idx, idx AS up, 0 AS d FROM scopes UNION ALL SELECT a.file_id, a.idx, s.parent_idx, d + 1 FROM anc a JOIN scopes s ON s.file_id = a.file_id AND s.idx = a.up WHERE s.parent_idx IS NOT NULL),
+inn AS (SELECT r.id, r.file_id, r.name, arg_min(s.idx, s.e_line - s.s_line) AS idx FROM refs r JOIN scopes s ON s.file_id = r.file_id AND (s.s_line < r.s_line OR s.s_line = r.s_line) AND (r.s_line < s.e_line OR (r.s_line = s.e_line AND r.s_col <= 0))
+WHERE r.receiver IS NULL GROUP BY r.id, r.file_id, r.name),
+placed AS (SELECT r.id, r.file_id, r.name, coalesce(i.idx, 0) AS idx FROM refs r LEFT JOIN inn i ON i.id = r.id WHERE r.receiver IS NULL),
+m AS (SELECT p.id AS ref_id, d.symbol_moniker, row_number() OVER (PARTITION BY p.id ORDER BY a.d, d.symbol_moniker IS NULL, d.id) AS rn FROM placed p JOIN anc a ON a.file_id = p.file_id AND a.idx = p.idx
+JOIN scope_defs d ON d.file_id = p.file_id AND d.scope_idx = a.up AND d.name = p.name) SELECT ref_id, symbol_moniker AS moniker FROM m WHERE rn = 1""")
+def scope_binding(x: Index) -> DataFrame:
+    return resolve.scope_binding(x.refs, x.scopes, x.scope_defs)
+
+
+@query("""SELECT a.id AS file_id, b.id AS sibling_id FROM files a JOIN files b ON regexp_replace(a.path, '/?[^/]*$', '') = regexp_replace(b.path, '/?[^/]*$', '') AND a.id <> b.id""")
+def dir_siblings(x: Index) -> DataFrame:
+    return lookup.dir_siblings(x)
+
+
+@query("""SELECT regexp_extract(a.path, '[^/]*$') AS suffix, b.id AS file_id, b.path AS path FROM files a JOIN files b ON b.path = regexp_extract(a.path, '[^/]*$') OR ends_with(b.path, '/' || regexp_extract(a.path, '[^/]*$'))""")
+def suffix_match(x: Index) -> DataFrame:
+    return lookup.suffix_match(x, x.files.select(paths.basename(F.col("path")).alias("suffix")))
+
+
+@query("""SELECT f.id AS file_id, t.id AS to_file FROM files f JOIN files t ON t.path = regexp_replace(f.path, '/[^/]*$', '') || '/s' || CAST(f.id % 25 AS VARCHAR) || '.ts' WHERE f.lang = 'typescript'""")
+def import_candidates(x: Index) -> DataFrame:
+    """Every TypeScript file imports ./s<id % 25>."""
+    i = x.files.where("lang = 'typescript'").select("id", "path", F.concat(F.lit("./s"), (F.col("id") % 25).cast("string")).alias("source"))
+    return resolve.first_existing(resolve.module_candidates(i), x.files).select(F.col("id").alias("file_id"), F.col("file_id").alias("to_file"))
+
+
+@query(""", h AS (SELECT DISTINCT o.enclosing_id AS sub, o.symbol_id AS base FROM occ o WHERE o.role = 'implements' AND o.enclosing_id % 3 = 0),
+up AS (SELECT DISTINCT enclosing_id AS seed, enclosing_id AS node, 0 AS distance FROM refs WHERE receiver = 'this' UNION SELECT seed, base, distance + 1 FROM up JOIN h ON h.sub = up.node WHERE distance < 2),
+near AS (SELECT seed, node, min(distance) AS distance FROM up GROUP BY seed, node),
+f AS (SELECT q.id AS ref_id, m.id AS symbol_id, n.distance, m.is_abstract AS bare, sum(CASE WHEN m.is_abstract THEN 0 ELSE 1 END) OVER (PARTITION BY q.id) AS solid FROM refs q JOIN near n ON n.seed = q.enclosing_id AND n.distance > 0
+JOIN symbols b ON b.id = n.node JOIN symbols m ON m.file_id = b.file_id AND m.owner_type = b.owner_type AND m.kind = b.kind WHERE q.receiver = 'this' AND NOT m.is_static),
+g AS (SELECT *, min(distance) OVER (PARTITION BY ref_id) AS nearest FROM f WHERE solid = 0 OR NOT bare),
+d AS (SELECT DISTINCT ref_id, symbol_id, distance, solid FROM g WHERE distance = nearest)
+SELECT ref_id, symbol_id, round(CASE WHEN solid = 0 THEN least(greatest(0.5, 0.85 - 0.1 * (distance - 1)), 0.5) ELSE greatest(0.5, 0.85 - 0.1 * (distance - 1)) END / count(*) OVER (PARTITION BY ref_id), 9)::DOUBLE AS confidence FROM d""")
+def inherited_member(x: Index) -> DataFrame:
+    """Owners are named by brand and members by kind, as in the proxy no member shares its class's file, owner and name."""
+    h = x.occurrences.where("role = 'implements' AND enclosing_id % 3 = 0").select(F.col("enclosing_id").alias("sub"), F.col("symbol_id").alias("base"))
+    owner = F.concat_ws("|", "owner_type", "kind")
+    s = x.symbols.select("id", "file_id", owner.alias("name"), F.lit("class").alias("kind"), owner.alias("owner_type"), "is_abstract", "is_static")
+    r = x.refs.where("receiver = 'this'").select("id", F.col("enclosing_id").alias("owner_id"))
+    # a reference asks for the members that its base's own owner and kind name
+    up = graph.reach(h, r.select(F.col("owner_id").alias("seed")).distinct(), 2, "sub", "base").where("distance > 0")
+    asked = r.join(up, F.col("owner_id") == F.col("seed")).join(s.select(F.col("id").alias("node"), "name"), "node").select("id", "owner_id", "name").distinct()
+    return resolve.inherited_members(asked, Index(x.files, s, x.occurrences), h, 2).withColumn("confidence", F.round("confidence", 9))
+
+
+@query("""SELECT id, role, provenance, symbol_id, s_col FROM occ o WHERE provenance = 'typed' OR role NOT IN ('call', 'reference')
+OR NOT EXISTS (SELECT 1 FROM occ t WHERE t.provenance = 'typed' AND t.file_id = o.file_id AND t.s_line = o.s_line AND t.s_col = o.s_col)""")
+def provenance_shadow(x: Index) -> DataFrame:
+    """Typed edges stand for the ingested ones."""
+    o = x.occurrences.withColumn("provenance", F.when(F.col("provenance") == "typed", "scip").otherwise(F.col("provenance")))
+    out = resolve.drop_shadowed(o).withColumn("provenance", F.when(F.col("provenance") == "scip", "typed").otherwise(F.col("provenance")))
+    return out.select("id", "role", "provenance", "symbol_id", "s_col")
+
+
+@query(f"SELECT DISTINCT file_id FROM refs WHERE name = '{NAME}' OR file_id = 3 OR receiver = '{NAME}'")
+def affected_files(x: Index) -> DataFrame:
+    spark = x.files.sparkSession
+    i = x.imports.select("file_id", F.lit(None).cast("string").alias("imported_name"), F.lit(None).cast("string").alias("local_name"))
+    changed = x.refs.where("file_id = 3").select("file_id").distinct()
+    return incremental.affected_files(Index(x.files, x.symbols, x.occurrences, x.refs, i), spark.createDataFrame([(NAME,)], "name string"), changed)
+
+
+@query("""SELECT file_id, string_agg(line, chr(10) ORDER BY line) AS signature FROM (SELECT file_id, role || ' ' || name || ' ' || coalesce(receiver, '-') || ' -' AS line FROM refs WHERE role = 'extends') GROUP BY file_id""")
+def inheritance_signature(x: Index) -> DataFrame:
+    return incremental.inheritance_signature(x.refs)
+
+
+@query("""SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.h IS NULL THEN 'new' WHEN b.h IS NULL THEN 'gone' WHEN a.h <> b.h THEN 'changed' ELSE 'same' END AS state
+FROM (SELECT path, id % 5 AS h FROM files WHERE id % 7 <> 0) a FULL JOIN (SELECT path, id % 10 AS h FROM files WHERE id % 3 <> 0) b ON a.path = b.path""")
+def diff_new_changed_gone(x: Index) -> DataFrame:
+    a = x.files.where("id % 7 <> 0").select("path", (F.col("id") % 5).cast("string").alias("hash"))
+    b = x.files.where("id % 3 <> 0").select("path", (F.col("id") % 10).cast("string").alias("hash"))
+    return incremental.diff(a, b)
+
+
+@query("""SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY file_id, name_s_line, name_s_col % 2 ORDER BY CASE WHEN kind = 'economy' THEN 3 WHEN kind = 'small' THEN 2 ELSE 1 END DESC, e_line - s_line DESC, id) AS r FROM symbols) WHERE r = 1""")
+def dedupe_symbols(x: Index) -> DataFrame:
+    s = x.symbols.withColumn("kind", F.when(F.col("kind") == "economy", "interface").when(F.col("kind") == "small", "method").otherwise("field"))
+    s = s.withColumn("name_s_col", F.col("name_s_col") % 2).withColumn("name_e_line", F.col("name_s_line")).withColumn("name_e_col", F.lit(9))
+    return facts.dedupe_symbols(s).select("id")
+
+
+@query("SELECT id FROM refs r WHERE NOT EXISTS (SELECT 1 FROM symbols s WHERE s.file_id = r.file_id AND s.name_s_line = r.s_line AND s.name_s_col = r.s_col)")
+def drop_self_refs(x: Index) -> DataFrame:
+    s = x.symbols.withColumn("name_e_line", F.col("name_s_line")).withColumn("name_e_col", F.col("name_s_col") + 3)
+    return facts.drop_definition_refs(x.refs, s).select("id")
+
+
+@query("""SELECT id, role FROM refs r WHERE role = 'extends' OR NOT EXISTS (SELECT 1 FROM refs e WHERE e.role = 'extends' AND e.file_id = r.file_id AND e.s_line = r.s_line AND e.s_col = r.s_col)""")
+def merge_relations(x: Index) -> DataFrame:
+    return facts.merge_relations(x.refs.where("role <> 'extends'"), x.refs.where("role = 'extends'")).select("id", "role")
+
+
+@query("""SELECT path, regexp_extract(path, '/(n[0-9]+)/', 1) IN ('n1', 'n2') AS pruned, lang FROM files""")
+def pruned_filter(x: Index) -> DataFrame:
+    """Files of two directories put under a pruned one; the language by extension."""
+    moved = F.regexp_replace("path", "/n([12])/", "/node_modules/")
+    return x.files.select("path", paths.is_pruned(moved).alias("pruned"), paths.language(F.col("path")).alias("lang"))
+
+
+@query("SELECT path, id % 3 <> 2 AS generated FROM files")
+def generated_filter(x: Index) -> DataFrame:
+    name = F.when(F.col("id") % 3 == 0, F.regexp_replace("path", r"\.", ".generated.")).when(F.col("id") % 3 == 1, F.concat(F.lit("CodeGen/"), F.col("path"))).otherwise(F.col("path"))
+    return x.files.select("path", paths.is_generated_path(name).alias("generated"))
+
+
+@query("SELECT id, moniker FROM symbols")
+def moniker_build(x: Index) -> DataFrame:
+    return x.symbols.select("id", "moniker")
+
+
+@query("SELECT s.id, 'codegraph . my  repo . `' || path || '`/`' || owner_type || '`#' || name || '.' AS symbol FROM symbols s JOIN files f ON f.id = s.file_id")
+def scip_symbol(x: Index) -> DataFrame:
+    rows = lookup.with_path(x, x.symbols)
+    return rows.select("id", ident.scip_symbol("codegraph", F.lit("my repo"), F.col("path"), F.col("owner_type"), F.col("name"), F.col("kind")).alias("symbol"))
+
+
+@query("""SELECT CASE WHEN confidence >= 0.9 THEN '>=0.9' WHEN confidence >= 0.5 THEN '0.5-0.89' ELSE '<0.5' END AS band, count(*) AS edges, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM occ t WHERE t.provenance = 'typed'
+AND t.file_id = o.file_id AND t.s_line = o.s_line AND t.s_col = o.s_col)) AS correct FROM occ o WHERE provenance <> 'typed' GROUP BY band""")
+def eval_metrics(x: Index) -> DataFrame:
+    typed = F.col("provenance") == "typed"
+    return evaluate.by_band(x.occurrences.where(~typed), x.occurrences.where(typed), ["file_id", "s_line", "s_col"])
+
+
+@query("SELECT path FROM files ORDER BY path LIMIT 50")
+def file_cap(x: Index) -> DataFrame:
+    return x.files.select("path").orderBy("path").limit(50)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_brand").count()
+    """Every call edge with its names and place."""
+    return graph.edges(proxy(spark, sf_dir), CALL_ROLES).select(*_EDGE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
