@@ -27,7 +27,7 @@ from .common import cut, shuffle_partitions
 
 TOP, NEIGHBOURS, WIDTH = 20, 24, 48
 TREES, BLOCK, ROUNDS, EMIT = 6, 2048, 3, 4
-BEAM, STEPS, STEP_EMIT, POOL = 48, 4, 24, 160
+BEAM, STEPS, STEP_EMIT, POOL = 48, 6, 32, 200
 SEED = 7
 
 _EDGE = "u long, w long, sim float"
@@ -253,18 +253,30 @@ def ranked(pool: DataFrame, beam: int, keep: int) -> DataFrame:
     return grouped(pool, "u", merge, _STATE)
 
 
-def search(graph: DataFrame, coded: DataFrame, queries: DataFrame, beam: int, steps: int, keep: int, width: int, emit: int) -> DataFrame:
-    """(u, w): each query node's nearest nodes by greedy search. queries: ids of the nodes that are queries."""
+def directions(nodes: DataFrame) -> DataFrame:
+    """(u, own): the nodes' unit vectors as queries, whose last coordinate is 0."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x = b.column("v").flatten().to_numpy().reshape(b.num_rows, -1)
+                x = np.concatenate([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))], 1).astype("f4")
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([r.tobytes() for r in x], pa.binary())], names=["u", "own"])
+
+    return nodes.select("id", "v").mapInArrow(run, "u long, own binary")
+
+
+def search(graph: DataFrame, coded: DataFrame, own: DataFrame, beam: int, steps: int, keep: int, width: int, emit: int) -> DataFrame:
+    """(u, w): each query node's nearest nodes by greedy search from the node itself. own: the queries, from directions()."""
     node = cut(packed(graph, coded, width))
-    start = graph.join(queries.select(F.col("id").alias("u")), "u", "left_semi").withColumn("visited", F.lit(False))
-    state = cut(ranked(start, beam, keep))
-    own = coded.select(F.col("id").alias("u"), F.col("q").alias("own"))
+    own = cut(own)
+    state = own.select("u", F.col("u").alias("w"), F.lit(-1e9).cast("float").alias("sim"), F.lit(True).alias("visited"), F.lit(True).alias("frontier"))
 
     def visit(batches):
         for b in batches:
             out_u, out_w, out_s = [], [], []
             for u, own_, ids, block in zip(b.column("u").to_pylist(), b.column("own").to_pylist(), b.column("ids"), b.column("block").to_pylist()):
-                x = np.frombuffer(own_, "i1").astype(np.float32)
+                x = np.frombuffer(own_, "f4")
                 w = ids.values.to_numpy()
                 s = np.frombuffer(block, "i1").reshape(len(w), -1).astype(np.float32) @ x
                 s[w == u] = -np.inf
@@ -308,7 +320,8 @@ def nearest(
         for _ in range(rounds):
             graph = descend(graph, coded, NEIGHBOURS, WIDTH, EMIT)
     asked = cut(same.where(is_query).select(F.col("vec_id").alias("query_id"), "id"))
-    found = search(graph, coded, asked.select("id").distinct(), BEAM, steps, POOL, WIDTH, STEP_EMIT)
+    own = directions(classes.join(asked.select("id").distinct(), "id", "left_semi"))
+    found = search(graph, coded, own, BEAM, steps, POOL, WIDTH, STEP_EMIT)
     best = best_by_score(found.union(asked.select("id", "id").distinct()), classes, top)
     # every query of a class, against the least members of the classes found
     hits = asked.join(best.withColumnRenamed("u", "id"), "id").select("query_id", F.col("w").alias("id"), "score").join(small, "id").where("vec_id <> query_id")
