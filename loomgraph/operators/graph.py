@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.lineage import cut
 from ..schemas import CALL_ROLES, IMPACT_FLOOR, INHERITANCE_ROLES, MAX_DEPTH, MAX_RESULTS, PROVENANCE_RANK, TOP_LEVEL, Index, limited
 
 
@@ -119,13 +120,18 @@ def hierarchy(index: Index) -> DataFrame:
 
 
 def reach(edge: DataFrame, seeds: DataFrame, depth: int, a: str = "a", b: str = "b") -> DataFrame:
-    """(seed, node, distance): nodes within ``depth`` steps of each seed, nearest distance, the seed itself at 0."""
-    step = edge.select(F.col(a).alias("node"), F.col(b).alias("to")).distinct()
+    """(seed, node, distance): nodes within ``depth`` steps of each seed, nearest distance, the seed itself at 0.
+
+    Each level is written before the next one, so the plan stays short; it ends with the first empty level.
+    """
+    step = cut(edge.select(F.col(a).alias("node"), F.col(b).alias("to")).distinct())
     known = seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("distance"))
     front = known
     for d in range(1, depth + 1):
         ahead = front.join(step, "node").select("seed", F.col("to").alias("node")).distinct()
-        front = ahead.join(known, ["seed", "node"], "left_anti").withColumn("distance", F.lit(d))
+        front = cut(ahead.join(known, ["seed", "node"], "left_anti").withColumn("distance", F.lit(d)))
+        if front.isEmpty():
+            break
         known = known.union(front)
     return known
 
@@ -141,8 +147,6 @@ def strong_components(edge: DataFrame, rounds: int = 100) -> DataFrame:
     colour the nodes that reach the colour's own node are a component. Edges between colours or of found components go, and the
     rest is done again. The state is written each round.
     """
-    from ..plans.lineage import cut
-
     loops = edge.where("a = b").select("a").distinct()
     left = cut(edge.where("a <> b").select("a", "b").distinct())
     found = None
@@ -175,8 +179,6 @@ def strong_components(edge: DataFrame, rounds: int = 100) -> DataFrame:
 
 def _spread(state: DataFrame, edge: DataFrame) -> DataFrame:
     """The least colour that reaches each node, to a fixpoint."""
-    from ..plans.lineage import cut
-
     state = cut(state)
     while True:
         into = state.join(edge, state["node"] == edge["a"]).select(F.col("b").alias("node"), "c")
@@ -188,8 +190,6 @@ def _spread(state: DataFrame, edge: DataFrame) -> DataFrame:
 
 def _reached(roots: DataFrame, edge: DataFrame) -> DataFrame:
     """(node, c): nodes from which their colour's root can be reached along edges of that colour."""
-    from ..plans.lineage import cut
-
     known = cut(roots.select("node", "c"))
     front = known
     while True:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import paths
+from ..plans.lineage import cut
 from ..schemas import CALL_ROLES, CLASS_KINDS, ECMASCRIPT, FANOUT_CAP, INHERITANCE_ROLES, PRECISE, PRECISE_FLOOR, Index
 from .facts import RANGE
 from .graph import reach
@@ -82,8 +83,8 @@ def scope_ancestors(scopes: DataFrame, depth: int = 64) -> DataFrame:
     front = scopes.select("file_id", "idx", F.col("idx").alias("ancestor"), F.lit(0).alias("distance"))
     out = front
     for d in range(1, depth + 1):
-        front = front.join(parent, ["file_id", "ancestor"]).select("file_id", "idx", F.col("up").alias("ancestor"), F.lit(d).alias("distance"))
-        if not front.limit(1).count():
+        front = cut(front.join(parent, ["file_id", "ancestor"]).select("file_id", "idx", F.col("up").alias("ancestor"), F.lit(d).alias("distance")))
+        if front.isEmpty():
             break
         out = out.union(front)
     return out
@@ -189,8 +190,8 @@ def reexports(imports: DataFrame, module: DataFrame, depth: int = 32) -> DataFra
         via = named.select(F.col("file_id").alias("to_file"), F.col("name").alias("to_name"), F.col("to_file").alias("f"), F.col("to_name").alias("n"))
         a = front.join(via, ["to_file", "to_name"]).select("file_id", "name", F.col("f").alias("to_file"), F.col("n").alias("to_name"))
         b = front.join(star.select(F.col("file_id").alias("to_file"), F.col("to_file").alias("f")), "to_file").select("file_id", "name", F.col("f").alias("to_file"), "to_name")
-        front = a.union(b).distinct().join(out, ["file_id", "name", "to_file", "to_name"], "left_anti").withColumn("distance", F.lit(d))
-        if not front.limit(1).count():
+        front = cut(a.union(b).distinct().join(out, ["file_id", "name", "to_file", "to_name"], "left_anti").withColumn("distance", F.lit(d)))
+        if front.isEmpty():
             break
         out = out.union(front)
     return out
