@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import cut, shuffle_partitions
 
 TOP, NEIGHBOURS, WIDTH = 20, 24, 48
-TREES, BLOCK, ROUNDS, EMIT = 6, 2048, 3, 4
-BEAM, STEPS, STEP_EMIT, POOL = 48, 6, 32, 200
+TREES, BLOCK, ROUNDS, EMIT = 6, 2048, 4, 4
+BEAM, STEP_EMIT, POOL = 64, 32, 256
 SEED = 7
 
 _EDGE = "u long, w long, sim float"
@@ -266,8 +266,11 @@ def directions(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "v").mapInArrow(run, "u long, own binary")
 
 
-def search(graph: DataFrame, coded: DataFrame, own: DataFrame, beam: int, steps: int, keep: int, width: int, emit: int) -> DataFrame:
-    """(u, w): each query node's nearest nodes by greedy search from the node itself. own: the queries, from directions()."""
+def search(graph: DataFrame, coded: DataFrame, own: DataFrame, beam: int, keep: int, width: int, emit: int) -> DataFrame:
+    """(u, w): each query node's nearest nodes by greedy search from the node itself, until its ``keep`` best have all been visited.
+
+    own: the queries, from directions().
+    """
     node = cut(packed(graph, coded, width))
     own = cut(own)
     state = own.select("u", F.col("u").alias("w"), F.lit(-1e9).cast("float").alias("sim"), F.lit(True).alias("visited"), F.lit(True).alias("frontier"))
@@ -288,7 +291,7 @@ def search(graph: DataFrame, coded: DataFrame, own: DataFrame, beam: int, steps:
             if out_u:
                 yield _edges(np.concatenate(out_u), np.concatenate(out_w), np.concatenate(out_s))
 
-    for _ in range(steps):
+    while not state.where("frontier").isEmpty():
         ahead = state.where("frontier").select("u", F.col("w").alias("id")).join(own, "u").join(node, "id").select("u", "own", "ids", "block")
         found = ahead.mapInArrow(visit, _EDGE).withColumn("visited", F.lit(False))
         state = cut(ranked(state.drop("frontier").unionByName(found), beam, keep))
@@ -296,7 +299,7 @@ def search(graph: DataFrame, coded: DataFrame, own: DataFrame, beam: int, steps:
 
 
 def nearest(
-    df: DataFrame, every: int = 20, top: int = TOP, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, block: int = BLOCK, rounds: int = ROUNDS, steps: int = STEPS
+    df: DataFrame, every: int = 20, top: int = TOP, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, block: int = BLOCK, rounds: int = ROUNDS
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest found of each row whose id is divisible by ``every``."""
     spark = df.sparkSession
@@ -321,7 +324,7 @@ def nearest(
             graph = descend(graph, coded, NEIGHBOURS, WIDTH, EMIT)
     asked = cut(same.where(is_query).select(F.col("vec_id").alias("query_id"), "id"))
     own = directions(classes.join(asked.select("id").distinct(), "id", "left_semi"))
-    found = search(graph, coded, own, BEAM, steps, POOL, WIDTH, STEP_EMIT)
+    found = search(graph, coded, own, BEAM, POOL, WIDTH, STEP_EMIT)
     best = best_by_score(found.union(asked.select("id", "id").distinct()), classes, top)
     # every query of a class, against the least members of the classes found
     hits = asked.join(best.withColumnRenamed("u", "id"), "id").select("query_id", F.col("w").alias("id"), "score").join(small, "id").where("vec_id <> query_id")
