@@ -240,3 +240,68 @@ def owner_class(index: Index) -> DataFrame:
 
 def is_inheritance(role: Column) -> Column:
     return role.isin(*INHERITANCE_ROLES)
+
+
+def follow_exports(uses: DataFrame, index: Index, module: DataFrame, depth: int = 32) -> DataFrame:
+    """(use_id, symbol_id): what a name exported by a file is, re-exports followed until a file has it, each (file, name) once a use.
+
+    uses: (use_id, file_id, name). module: (id, file_id), the target file of each import.
+    """
+    export_name = F.col("export_name") if "export_name" in index.symbols.columns else F.lit(None).cast("string")
+    s = index.symbols.where("exported").select("file_id", "name", export_name.alias("export_name"), F.col("id").alias("symbol_id"))
+    exports = s.select("file_id", "name", "symbol_id").union(s.where("export_name IS NOT NULL").select("file_id", "export_name", "symbol_id")).distinct()
+    step = index.imports.select("id", "file_id", "kind", "local_name", "imported_name").join(module.withColumnRenamed("file_id", "to_file"), "id")
+    named = step.where("kind = 'reexport'").select("file_id", F.col("local_name").alias("name"), "to_file", F.col("imported_name").alias("to_name")).distinct()
+    star = step.where("kind = 'reexport-star'").select("file_id", "to_file").distinct()
+    front, seen, out = uses.select("use_id", "file_id", "name").distinct(), None, None
+    for _ in range(depth):
+        front = cut(front if seen is None else front.join(seen, ["use_id", "file_id", "name"], "left_anti"))
+        if front.isEmpty():
+            break
+        seen = front if seen is None else seen.union(front)
+        hit = front.join(exports, ["file_id", "name"])
+        out = hit.select("use_id", "symbol_id") if out is None else out.union(hit.select("use_id", "symbol_id"))
+        rest = front.join(hit.select("use_id", "file_id", "name").distinct(), ["use_id", "file_id", "name"], "left_anti")
+        a = rest.join(named, ["file_id", "name"]).select("use_id", F.col("to_file").alias("file_id"), F.col("to_name").alias("name"))
+        b = rest.join(star, "file_id").select("use_id", F.col("to_file").alias("file_id"), "name")
+        front = a.union(b).distinct()
+    return uses.sparkSession.createDataFrame([], "use_id long, symbol_id long") if out is None else out.distinct()
+
+
+def bind_ecmascript(refs: DataFrame, index: Index, module: DataFrame) -> DataFrame:
+    """Named and default imports of a bare name, and members of a namespace import; score 0.9. module: (id, file_id) of the imports."""
+    i = index.imports.join(module.select("id", F.col("file_id").alias("to_file")), "id").select("file_id", "kind", "local_name", "imported_name", "to_file")
+    r = refs.select(F.col("id").alias("ref_id"), "file_id", "name", "receiver")
+    bare = r.where("receiver IS NULL").join(i.where("kind IN ('named', 'default')"), "file_id").where("local_name = name")
+    space = r.where("receiver IS NOT NULL").join(i.where("kind = 'namespace'"), "file_id").where("local_name = receiver")
+    uses = bare.select(F.col("ref_id").alias("use_id"), F.col("to_file").alias("file_id"), F.coalesce("imported_name", "name").alias("name"))
+    uses = uses.union(space.select("ref_id", "to_file", "name"))
+    return follow_exports(uses, index, module).select(F.col("use_id").alias("ref_id"), "symbol_id", F.lit("import").alias("resolution"), F.lit(0.9).alias("base"))
+
+
+def package_dirs(imports: DataFrame, files: DataFrame, go_module: str | None = None) -> DataFrame:
+    """(id, dir): the directory of each Go import (id, source): behind the module's own prefix, else the longest suffix that is one."""
+    dirs = files.select(paths.dirname(F.col("path")).alias("dir")).distinct()
+    parts = F.split(F.col("source"), "/")
+    own = F.lit(None).cast("string")
+    if go_module is not None:
+        own = F.when(F.col("source") == go_module, "").when(F.startswith("source", F.lit(go_module + "/")), F.substring("source", len(go_module) + 2, 1 << 20))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
+    tries = imports.select("id", F.posexplode(F.concat(F.array(own), suffixes)).alias("ord", "dir")).where("dir IS NOT NULL")
+    return tries.join(dirs, "dir").groupBy("id").agg(F.min_by("dir", "ord").alias("dir"))
+
+
+def bind_go(refs: DataFrame, index: Index, go_module: str | None = None) -> DataFrame:
+    """Exported symbols of the receiver's package (0.9); bare names: symbols of other files in the directory (0.85), else dot imports."""
+    go = index.files.where("lang = 'go'").select(F.col("id").alias("file_id"), "path", paths.dirname(F.col("path")).alias("dir"))
+    i = index.imports.join(go.select("file_id"), "file_id", "left_semi").select("id", "file_id", "kind", "source", "local_name")
+    target = i.join(package_dirs(i, go, go_module), "id")
+    s = index.symbols.join(go.select("file_id", "dir"), "file_id").select(F.col("file_id").alias("s_file"), "dir", "name", F.col("id").alias("symbol_id"), "exported")
+    r = refs.join(go.select("file_id", F.col("dir").alias("own_dir")), "file_id").select(F.col("id").alias("ref_id"), "file_id", "own_dir", "name", "receiver")
+    first = Window.partitionBy("ref_id").orderBy("id")
+    used = r.where("receiver IS NOT NULL").join(target.where("kind = 'namespace'"), "file_id").where("local_name = receiver").withColumn("_r", F.row_number().over(first)).where("_r = 1")
+    member = used.join(s.where("exported"), ["dir", "name"])
+    sibling = r.where("receiver IS NULL").join(s.withColumnRenamed("dir", "own_dir"), ["own_dir", "name"]).where("s_file <> file_id")
+    dotted = r.where("receiver IS NULL").join(target.where("kind = 'wildcard'"), "file_id").join(s.where("exported"), ["dir", "name"]).join(sibling.select("ref_id"), "ref_id", "left_anti")
+    pick = lambda d, kind, base: d.select("ref_id", "symbol_id", F.lit(kind).alias("resolution"), F.lit(base).alias("base"))
+    return pick(member, "import", 0.9).union(pick(sibling, "package", 0.85)).union(pick(dotted, "import", 0.9)).distinct()

@@ -95,3 +95,70 @@ def test_utf_columns():
 def test_build_of_an_empty_tree(spark):
     index = build(spark.createDataFrame([], "path string, content string"))
     assert index.occurrences.count() == 0 and index.symbols.count() == 0
+
+
+def hand_made(spark, files, symbols, refs, imports):
+    from loomgraph.schemas import Index
+
+    f = spark.createDataFrame(files, "id long, path string, lang string")
+    s = spark.createDataFrame(symbols, "id long, file_id long, name string, exported boolean, export_name string")
+    r = spark.createDataFrame(refs, "id long, file_id long, name string, receiver string")
+    i = spark.createDataFrame(imports, "id long, file_id long, source string, kind string, imported_name string, local_name string")
+    return Index(f, s, None, r, i)
+
+
+def found(df):
+    return sorted((r.ref_id, r.symbol_id, r.base) for r in df.collect())
+
+
+def test_ecmascript_imports_follow_reexports(spark):
+    from loomgraph.operators import resolve
+
+    x = hand_made(
+        spark,
+        [(1, "src/main.ts", "typescript"), (2, "src/lib/index.ts", "typescript"), (3, "src/lib/deep.ts", "typescript"), (4, "src/util.ts", "typescript"), (5, "src/loop.ts", "typescript")],
+        [(10, 3, "run", True, None), (11, 3, "hidden", False, None), (12, 4, "tool", True, "default"), (13, 3, "go", True, None)],
+        [(100, 1, "start", None), (101, 1, "go", "ns"), (102, 1, "t", None), (103, 1, "hidden", None), (104, 1, "never", None)],
+        [
+            (1, 1, "./lib", "named", "begin", "start"), (2, 1, "./lib", "namespace", None, "ns"), (3, 1, "@app/util", "default", "default", "t"), (4, 1, "./lib/deep.js", "named", "hidden", "hidden"), (5, 2, "./deep", "reexport", "run", "begin"),
+            (6, 2, "./deep", "reexport-star", None, None), (7, 1, "./loop", "named", "never", "never"), (8, 5, "./loop", "reexport-star", None, None),
+        ],
+    )
+    at = x.imports.join(x.files.selectExpr("id as file_id", "path"), "file_id").select("id", "path", "source")
+    module = resolve.first_existing(resolve.module_candidates(at, [("@app/", True, ["src/*"])]), x.files)
+    assert {(r.id, r.file_id) for r in module.collect()} == {(1, 2), (2, 2), (3, 4), (4, 3), (5, 3), (6, 3), (7, 5), (8, 5)}
+    assert found(resolve.bind_ecmascript(x.refs, x, module)) == [(100, 10, 0.9), (101, 13, 0.9), (102, 12, 0.9)]
+
+
+def test_go_packages(spark):
+    from loomgraph.operators import resolve
+
+    x = hand_made(
+        spark,
+        [(1, "cmd/main.go", "go"), (2, "pkg/util/u.go", "go"), (3, "cmd/side.go", "go"), (4, "dot/d.go", "go")],
+        [(10, 2, "Do", True, None), (11, 2, "do", False, None), (12, 3, "helper", False, None), (13, 4, "Dotted", True, None), (14, 1, "helper", False, None)],
+        [(100, 1, "Do", "util"), (101, 1, "do", "util"), (102, 1, "helper", None), (103, 1, "Dotted", None), (104, 1, "Do", "other")],
+        [(1, 1, "example.org/m/pkg/util", "namespace", None, "util"), (2, 1, "elsewhere.org/x/dot", "wildcard", None, None)],
+    )
+    want = [(100, 10, 0.9), (102, 12, 0.85), (103, 13, 0.9)]
+    assert found(resolve.bind_go(x.refs, x, "example.org/m")) == want and found(resolve.bind_go(x.refs, x)) == want
+
+
+def test_command_line_and_exploration(spark, tmp_path, capsys):
+    from loomgraph.__main__ import main, parser
+
+    src = tmp_path / "src"
+    for name, text in FILES.items():
+        (src / name).parent.mkdir(parents=True, exist_ok=True)
+        (src / name).write_text(text)
+    store = ["--store", str(tmp_path / "store")]
+    assert main([*store, "status"]) == 1
+    assert main([*store, "sync", str(src)]) == 0
+    capsys.readouterr()
+    main([*store, "callers", "helper", "--limit", "5"])
+    assert [line.split("\t")[1] for line in capsys.readouterr().out.splitlines()] == ["outer", "run"]
+    main([*store, "explore", "Kid"])
+    assert {line.split("\t")[0] for line in capsys.readouterr().out.splitlines()} == {"symbol", "supertype"}
+    for bad in (["callers"], ["callers", "a", "--moniker", "b"], ["def", "a", "--limit", "501"], ["impact", "a", "--depth", "0"], ["nothing"]):
+        with pytest.raises(SystemExit):
+            parser().parse_args([*store, *bad])
