@@ -305,3 +305,45 @@ def bind_go(refs: DataFrame, index: Index, go_module: str | None = None) -> Data
     dotted = r.where("receiver IS NULL").join(target.where("kind = 'wildcard'"), "file_id").join(s.where("exported"), ["dir", "name"]).join(sibling.select("ref_id"), "ref_id", "left_anti")
     pick = lambda d, kind, base: d.select("ref_id", "symbol_id", F.lit(kind).alias("resolution"), F.lit(base).alias("base"))
     return pick(member, "import", 0.9).union(pick(sibling, "package", 0.85)).union(pick(dotted, "import", 0.9)).distinct()
+
+
+def bind_java(refs: DataFrame, index: Index) -> DataFrame:
+    """Class imports, wildcards, static imports (0.9) and the own package (0.85), in that order; the first that has the name wins.
+
+    A receiver that a plain import names is that class and nothing else.
+    """
+    java = index.files.where("lang = 'java'").select(F.col("id").alias("file_id"), "path", paths.dirname(F.col("path")).alias("dir"))
+    i = index.imports.join(java.select("file_id"), "file_id", "left_semi").select("id", "file_id", "kind", "source", "local_name", F.coalesce("is_static", F.lit(False)).alias("static"))
+    r = refs.join(java.select("file_id", "dir"), "file_id").select(F.col("id").alias("ref_id"), "file_id", "dir", "name", "receiver")
+    wide, member = F.col("kind") == "wildcard", F.col("receiver").isNotNull()
+    j = r.join(i, "file_id")
+    named_class = member & ~wide & ~F.col("static") & (F.col("local_name") == F.col("receiver"))
+    order = (
+        F.when(named_class, 0)
+        .when(member & wide, 1)
+        .when(~member & F.col("static") & ~wide & (F.col("local_name") == F.col("name")), 0)
+        .when(~member & F.col("static") & wide, 1)
+        .when(~member & ~F.col("static") & ~wide & (F.col("local_name") == F.col("name")), 2)
+        .when(~member & ~F.col("static") & wide, 3)
+    )
+    inner = F.when(wide & ~F.col("static"), F.coalesce("receiver", "name")).when(wide & member, F.col("receiver"))
+    j = j.withColumn("prio", order).where("prio IS NOT NULL").withColumn("fqn", F.concat_ws(".", "source", inner))
+    first = Window.partitionBy("ref_id", "prio").orderBy("id")
+    j = j.withColumn("_r", F.row_number().over(first)).where(~member | (F.col("_r") == 1))
+    fixed = j.where(member & (F.col("prio") == 0)).select("ref_id").distinct()
+    j = j.where(~member | (F.col("prio") == 0)).unionByName(j.where(member & (F.col("prio") > 0)).join(fixed, "ref_id", "left_anti"))
+    tries = j.select("ref_id", "prio", F.col("id").alias("ord"), "name", F.concat(F.replace("fqn", F.lit("."), F.lit("/")), F.lit(".java")).alias("candidate"), F.lit("import").alias("resolution"), F.lit(0.9).alias("base"))
+    own = r.join(fixed, "ref_id", "left_anti").where(member).select(
+        "ref_id", F.lit(8).alias("prio"), F.lit(0).cast("long").alias("ord"), "name", F.concat(F.when(F.col("dir") == "", "").otherwise(F.concat("dir", F.lit("/"))), "receiver", F.lit(".java")).alias("candidate"), F.lit("package").alias("resolution"), F.lit(0.85).alias("base")
+    )
+    tries = tries.unionByName(own)
+    wanted = tries.select("candidate").distinct()
+    exact = wanted.join(java.select(F.col("path").alias("candidate"), F.col("file_id").alias("s_file")), "candidate")
+    rest = wanted.join(exact, "candidate", "left_anti").withColumn("base_name", paths.basename(F.col("candidate")))
+    loose = rest.join(java.select("path", F.col("file_id").alias("s_file"), paths.basename(F.col("path")).alias("base_name")), "base_name").where(F.endswith("path", F.concat(F.lit("/"), F.col("candidate"))))
+    s = index.symbols.select(F.col("file_id").alias("s_file"), "name", F.col("id").alias("symbol_id"))
+    hits = tries.join(exact.select("candidate", "s_file").union(loose.select("candidate", "s_file")), "candidate").join(s, ["s_file", "name"]).select("ref_id", "prio", "ord", "symbol_id", "resolution", "base")
+    near = s.join(java.select(F.col("file_id").alias("s_file"), "dir"), "s_file")
+    sibling = r.where(~member).join(near, ["dir", "name"]).where("s_file <> file_id").select("ref_id", F.lit(9).alias("prio"), F.lit(0).cast("long").alias("ord"), "symbol_id", F.lit("package").alias("resolution"), F.lit(0.85).alias("base"))
+    best = F.min(F.struct("prio", "ord")).over(Window.partitionBy("ref_id"))
+    return hits.unionByName(sibling).withColumn("_b", best).where((F.col("prio") == F.col("_b.prio")) & (F.col("ord") == F.col("_b.ord"))).select("ref_id", "symbol_id", "resolution", "base").distinct()

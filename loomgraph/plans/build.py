@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ident
 from ..operators import facts, resolve
-from ..schemas import INHERITANCE_ROLES, Index
+from ..schemas import ECMASCRIPT, INHERITANCE_ROLES, Index
 from ..sources import tree
 from .lineage import cut
 
@@ -19,7 +22,7 @@ FrontEnd = Callable[[str], dict | None]
 STEP = 1 << 20  # ids of a file's facts: file id times STEP plus their place in the file
 
 _KINDS = {
-    "symbols": "ord int, name string, kind string, range array<int>, name_range array<int>, owner_type string, visibility string, param_count int, variadic boolean, is_static boolean, is_abstract boolean, exported boolean",
+    "symbols": "ord int, name string, kind string, range array<int>, name_range array<int>, owner_type string, visibility string, param_count int, variadic boolean, is_static boolean, is_abstract boolean, exported boolean, export_name string",
     "refs": "ord int, name string, role string, range array<int>, receiver string, arg_count int",
     "imports": "ord int, source string, kind string, imported_name string, local_name string, is_static boolean",
     "scopes": "idx int, parent_idx int, range array<int>",
@@ -35,8 +38,6 @@ def front_ends() -> dict[str, FrontEnd]:
 
 def parse(files: DataFrame, ends: dict[str, FrontEnd] | None = None) -> DataFrame:
     """files (path, lang, content, ...) to one row a file with an array of structs per fact table; unparsed files give none."""
-    import json
-
     chosen = ends
 
     def run(batches):
@@ -89,23 +90,55 @@ def tables(parsed: DataFrame) -> Index:
     return Index(parsed.drop("facts"), symbols.drop("ord"), None, refs, imports, scopes, defs)
 
 
-def targets(refs: DataFrame, index: Index) -> DataFrame:
+@dataclass(frozen=True)
+class Layout:
+    """A project's path aliases (prefix, wildcard, targets), base folder, and Go module name."""
+
+    aliases: tuple[tuple[str, bool, tuple[str, ...]], ...] = ()
+    base_url: str | None = None
+    go_module: str | None = None
+
+    @staticmethod
+    def of(tsconfig: str | None = None, go_mod: str | None = None) -> Layout:
+        """From the two files' texts; comments and trailing commas are allowed, a broken file counts as absent."""
+        bare = re.sub(r",(\s*[}\]])", r"\1", re.sub(r"(?m)/\*.*?\*/|(?<![:\"'])//[^\n]*", "", tsconfig or "", flags=re.S))
+        try:
+            options = json.loads(bare or "{}").get("compilerOptions") or {}
+        except (ValueError, AttributeError):
+            options = {}
+        aliases = tuple((k.removesuffix("*"), k.endswith("*"), tuple(v)) for k, v in (options.get("paths") or {}).items())
+        module = re.search(r"(?m)^\s*module\s+(\S+)", go_mod or "")
+        return Layout(aliases, options.get("baseUrl"), module[1] if module else None)
+
+
+def imported(refs: DataFrame, index: Index, layout: Layout) -> DataFrame:
+    """Targets through imports, language by language."""
+    langs = index.files.select(F.col("id").alias("file_id"), "lang", "path")
+    of = lambda d, *names: d.join(langs.where(F.col("lang").isin(*names)).select("file_id"), "file_id", "left_semi")
+    script = Index(index.files, index.symbols, None, None, of(index.imports, *ECMASCRIPT))
+    at = script.imports.join(langs, "file_id").select("id", "path", "source")
+    module = cut(resolve.first_existing(resolve.module_candidates(at, list(layout.aliases), layout.base_url), index.files))
+    out = resolve.bind_ecmascript(of(refs, *ECMASCRIPT), script, module).union(resolve.bind_python(of(refs, "python"), index))
+    return out.union(resolve.bind_go(of(refs, "go"), index, layout.go_module)).union(resolve.bind_java(of(refs, "java"), index))
+
+
+def targets(refs: DataFrame, index: Index, layout: Layout) -> DataFrame:
     """Scored targets (ref_id, symbol_id, resolution, confidence) of references, by the cascade of tiers."""
     ids = index.symbols.select("moniker", "id")
     bound = resolve.scope_binding(refs, index.scopes, index.scope_defs)
     scoped = bound.join(ids, "moniker", "left").select("ref_id", F.col("id").alias("symbol_id"), F.lit("scoped").alias("resolution"), F.lit(1.0).alias("base"))
-    imported = resolve.bind_python(refs, index)
+    through = imported(refs, index, layout)
     named = resolve.by_name(refs.where("receiver IS NULL OR receiver NOT IN ('this', 'self')"), index)
-    return resolve.weight_targets(resolve.cascade([scoped, imported, resolve.same_file(refs, index), named])).drop("base")
+    return resolve.weight_targets(resolve.cascade([scoped, through, resolve.same_file(refs, index), named])).drop("base")
 
 
-def resolved(index: Index) -> Index:
+def resolved(index: Index, layout: Layout = Layout()) -> Index:
     """The index with its edges: inheritance first, as members inherited through it serve the rest."""
     inherits = F.col("role").isin(*INHERITANCE_ROLES)
-    up = cut(targets(index.refs.where(inherits), index))
+    up = cut(targets(index.refs.where(inherits), index, layout))
     precise = up.where(F.col("resolution") != "name").join(index.refs.select(F.col("id").alias("ref_id"), "enclosing_id"), "ref_id")
     bases = cut(precise.where("enclosing_id IS NOT NULL").select(F.col("enclosing_id").alias("sub"), F.col("symbol_id").alias("base")).distinct())
-    rest = cut(targets(index.refs.where(~inherits), index))
+    rest = cut(targets(index.refs.where(~inherits), index, layout))
     own = index.refs.where(~inherits & F.col("receiver").isin("this", "self")).join(rest.where(F.col("resolution") != "name"), F.col("id") == F.col("ref_id"), "left_anti")
     around = index.symbols.select(F.col("id").alias("enclosing_id"), "owner_type").where("owner_type IS NOT NULL")
     own = own.join(around, "enclosing_id").join(resolve.owner_class(index), ["file_id", "owner_type"])
@@ -118,13 +151,13 @@ def resolved(index: Index) -> Index:
     return Index(index.files, index.symbols, cut(edges.select("id", "symbol_id", "file_id", *facts.RANGE, "role", "enclosing_id", "provenance", "confidence")), index.refs, index.imports, index.scopes, index.scope_defs)
 
 
-def build(files: DataFrame, ends: dict[str, FrontEnd] | None = None) -> Index:
+def build(files: DataFrame, ends: dict[str, FrontEnd] | None = None, layout: Layout = Layout()) -> Index:
     """The whole index of files (path, content [, size, mtime_ms, lang])."""
     from ..functions import paths
 
     f = files if "lang" in files.columns else files.withColumn("lang", paths.language(F.col("path"))).where("lang IS NOT NULL")
     f = tree.not_generated(f.withColumn("hash", F.sha2("content", 256)))
-    return resolved(tables(cut(numbered(parse(f, ends)))))
+    return resolved(tables(cut(numbered(parse(f, ends)))), layout)
 
 
 def build_tree(spark: SparkSession, root: str, ignore: dict[str, str] | None = None) -> Index:

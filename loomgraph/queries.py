@@ -346,6 +346,27 @@ def eval_metrics(x: Index) -> DataFrame:
     return evaluate.by_band(x.occurrences.where(~typed), x.occurrences.where(typed), ["file_id", "s_line", "s_col"])
 
 
+@query("""SELECT (SELECT count(*) FROM (SELECT DISTINCT file_id, s_line, s_col FROM occ WHERE provenance = 'typed')) AS places,
+(SELECT count(*) FROM (SELECT file_id, s_line, s_col FROM occ WHERE provenance = 'typed' INTERSECT SELECT file_id, s_line, s_col FROM occ WHERE provenance <> 'typed')) AS found""")
+def eval_recall(x: Index) -> DataFrame:
+    typed = F.col("provenance") == "typed"
+    return evaluate.recall(x.occurrences.where(~typed), x.occurrences.where(typed), ["file_id", "s_line", "s_col"])
+
+
+@query("""SELECT r.id AS ref_id, arg_min(s.id, (s.e_line - s.s_line) * 100000::BIGINT * 1000000 + s.id) AS symbol_id FROM refs r JOIN symbols s ON s.file_id = r.file_id
+AND (s.s_line < r.s_line OR (s.s_line = r.s_line AND 0 <= r.s_col)) AND (r.s_line < s.e_line OR (r.s_line = s.e_line AND r.s_col <= 0)) GROUP BY r.id""")
+def symbol_at(x: Index) -> DataFrame:
+    places = x.refs.select(F.col("id").alias("ref_id"), "file_id", F.col("s_line").alias("line"), F.col("s_col").alias("col"))
+    return lookup.symbol_at(x, places).select("ref_id", "symbol_id")
+
+
+@query("""SELECT f.id AS file_id, arg_min(d.dir, k.i) AS dir FROM files f, range(1, 5) k(i) JOIN (SELECT DISTINCT regexp_replace(path, '/?[^/]*$', '') AS dir FROM files) d
+ON d.dir = array_to_string(list_slice(string_split('example.org/m/' || regexp_replace(f.path, '/?[^/]*$', ''), '/'), CAST(k.i AS INT), 9), '/') GROUP BY f.id""")
+def go_package_dirs(x: Index) -> DataFrame:
+    i = x.files.select("id", F.concat(F.lit("example.org/m/"), paths.dirname(F.col("path"))).alias("source"))
+    return resolve.package_dirs(i, x.files).select(F.col("id").alias("file_id"), "dir")
+
+
 @query("SELECT path FROM files ORDER BY path LIMIT 50")
 def file_cap(x: Index) -> DataFrame:
     return x.files.select("path").orderBy("path").limit(50)
