@@ -178,26 +178,42 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, reach: int = REACH, bu
     n = shuffle_partitions(docs.sparkSession)
 
     def find(batches):
+        """One row for each different (shared, whole) of a batch, with its count. The other places of a class go through as
+        ``direct``: they are repeated for certain, and are dealt at random, so a common line makes no hot key."""
         for b in batches:
+            parts = []
             for text, h1, h2 in zip(b.column("text"), b.column("h1").to_pylist(), b.column("h2").to_pylist()):
                 for shared, whole, anchor, lo, hi in anchors(text.as_buffer().to_pybytes(), length, reach):
-                    k = len(anchor)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (shared, whole, np.full(k, h1), np.full(k, h2), anchor, lo, hi)],
-                        names=["shared", "whole", "h1", "h2", "anchor", "lo", "hi"],
-                    )
-
-    found = docs.where(F.octet_length("text") >= length).mapInArrow(find, "shared long, whole long, h1 long, h2 long, anchor long, lo long, hi long")
-    per_class = Window.partitionBy("shared", "whole")
+                    parts.append((shared, whole, np.full(len(lo), h1), np.full(len(lo), h2), anchor, lo, hi))
+            if not parts:
+                continue
+            shared, whole, h1, h2, anchor, lo, hi = (np.concatenate(x) for x in zip(*parts))
+            o = np.lexsort((whole, shared))
+            shared, whole, h1, h2, anchor, lo, hi = (x[o] for x in (shared, whole, h1, h2, anchor, lo, hi))
+            direct = np.concatenate([[False], (shared[1:] == shared[:-1]) & (whole[1:] == whole[:-1])])
+            first = np.flatnonzero(~direct)
+            times = np.ones(len(lo), np.int64)
+            times[first] = np.diff(np.append(first, len(lo)))
+            with np.errstate(over="ignore"):
+                shared[direct] = mixed((h1[direct] + lo[direct]).view(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (shared, whole, h1, h2, anchor, lo, hi, times, direct)], names=["shared", "whole", "h1", "h2", "anchor", "lo", "hi", "times", "direct"]
+            )
+
+    found = docs.where(F.octet_length("text") >= length).mapInArrow(
+        find, "shared long, whole long, h1 long, h2 long, anchor long, lo long, hi long, times long, direct boolean"
+    )
+    counted = F.when(~F.col("direct"), F.col("times")).otherwise(0)
+    per_class = Window.partitionBy("shared", "whole", "direct")
     found = found.repartition(n, "shared").select(
         "*",
-        F.count("*").over(Window.partitionBy("shared")).alias("n_shared"),
-        F.count("*").over(per_class).alias("n_whole"),
+        F.sum(counted).over(Window.partitionBy("shared")).alias("n_shared"),
+        F.sum(counted).over(per_class).alias("n_whole"),
         F.row_number().over(per_class.orderBy("h1", "h2", "lo")).alias("copy"),
     )
-    live = cut(found.where("n_shared > 1"))
-    whole = live.where("n_whole > 1").select("h1", "h2", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
-    wanted = live.where("n_shared > n_whole AND copy = 1").groupBy("h1", "h2").agg(
+    live = cut(found.where("n_shared > 1 OR direct"))
+    whole = live.where("n_whole > 1 OR direct").select("h1", "h2", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
+    wanted = live.where("n_shared > n_whole AND copy = 1 AND NOT direct").groupBy("h1", "h2").agg(
         F.collect_list(F.struct("shared", "anchor", "lo", "hi", (F.col("n_whole") > 1).alias("known"))).alias("want")
     )
 
