@@ -173,8 +173,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, reach: int = REACH, bu
 
     docs: from keyed(). ``length`` has to be over ``reach + GRAM``.
     """
-    if length < reach + GRAM:
-        raise ValueError("length has to be at least reach + GRAM")
+    if length < reach + GRAM or reach > 1024:
+        raise ValueError("length has to be at least reach + GRAM, and reach at most 1024")
     n = shuffle_partitions(docs.sparkSession)
 
     def find(batches):
@@ -196,21 +196,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, reach: int = REACH, bu
             times[first] = np.diff(np.append(first, len(lo)))
             with np.errstate(over="ignore"):
                 shared[direct] = mixed((h1[direct] + lo[direct]).view(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (shared, whole, h1, h2, anchor, lo, hi, times, direct)], names=["shared", "whole", "h1", "h2", "anchor", "lo", "hi", "times", "direct"]
-            )
-
-    found = docs.where(F.octet_length("text") >= length).mapInArrow(
-        find, "shared long, whole long, h1 long, h2 long, anchor long, lo long, hi long, times long, direct boolean"
-    )
-    counted = F.when(~F.col("direct"), F.col("times")).otherwise(0)
-    per_class = Window.partitionBy("shared", "whole", "direct")
+            # back in the texts' order, and small numbers in one, so that the shuffle compresses well; times 0 is ``direct``
+            small = (times * ~direct) << 20 | (anchor - lo) << 10 | (hi - lo)
+            back = np.argsort(o)
+            yield pa.RecordBatch.from_arrays([pa.array(x[back]) for x in (shared, whole, h1, h2, lo, small)], names=["shared", "whole", "h1", "h2", "lo", "small"])
+
+    found = docs.where(F.octet_length("text") >= length).mapInArrow(find, "shared long, whole long, h1 long, h2 long, lo long, small long")
+    counted, direct = F.shiftright("small", 20), F.shiftright("small", 20) == 0
+    per_class = Window.partitionBy("shared", "whole", direct)
     found = found.repartition(n, "shared").select(
-        "*",
+        "shared", "h1", "h2", "lo",
+        (F.col("lo") + F.shiftright("small", 10).bitwiseAND(F.lit(1023))).alias("anchor"),
+        (F.col("lo") + F.col("small").bitwiseAND(F.lit(1023))).alias("hi"),
+        direct.alias("direct"),
         F.sum(counted).over(Window.partitionBy("shared")).alias("n_shared"),
         F.sum(counted).over(per_class).alias("n_whole"),
         F.row_number().over(per_class.orderBy("h1", "h2", "lo")).alias("copy"),
-    )
+    )
     live = cut(found.where("n_shared > 1 OR direct"))
     whole = live.where("n_whole > 1 OR direct").select("h1", "h2", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
     wanted = live.where("n_shared > n_whole AND copy = 1 AND NOT direct").groupBy("h1", "h2").agg(
