@@ -125,7 +125,7 @@ def fit(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, label_
         index, value = train((t, y) for _, t, y in sorted(rows, key=seed)) if rows else ([], [])
         yield pa.RecordBatch.from_arrays([pa.array(index, pa.int64()), pa.array(value, pa.float64())], names=["i", "w"])
 
-    got = chosen.coalesce(1).mapInArrow(run, "i long, w double").collect() if sample_rows else []
+    got = chosen.repartition(1).mapInArrow(run, "i long, w double").collect() if sample_rows else []
     return np.array([r["i"] for r in got], np.int64), np.array([r["w"] for r in got])
 
 
