@@ -178,7 +178,11 @@ def keep_one(df: DataFrame) -> DataFrame:
 
     Of rows that repeat a doc_id the one with the least text stays. Rows without a doc_id can't be told apart and stay.
     """
-    kept = near_duplicates(df).where("doc_id = component_id").select("doc_id").distinct()
+    return keep_rows(df, near_duplicates(df).where("doc_id = component_id").select("doc_id").distinct())
+
+
+def keep_rows(df: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``df`` with the doc_ids in ``kept``, one of each, and those without a doc_id."""
     first = Window.partitionBy("doc_id").orderBy("text")
     one = df.join(kept, "doc_id", "left_semi").withColumn("__copy", F.row_number().over(first)).where("__copy = 1").drop("__copy")
     return one.unionByName(df.where("doc_id IS NULL"))

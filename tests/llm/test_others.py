@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from loomgraph.llm import ann, chat, graph, packing, queries, simhash, suffix_dedup, toxicity, url_filter
+from loomgraph.llm import ann, chat, graph, near_dup, packing, queries, simhash, suffix_dedup, toxicity, url_filter
 
 from .fixtures import words
 
@@ -171,3 +171,49 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     tokens = packing.Tokens(queries.BYTE_BPE)
     assert out.groupby("doc_id").length.sum().to_dict() == {k: len(tokens.encode(t)) // 4 + 1 for k, t in kept.items()}
     assert suffix_dedup.LENGTH == 400
+
+
+def edited(text, every, seed):
+    """The text with one word in ``every`` replaced."""
+    r, out = random.Random(seed), text.split()
+    for k in range(r.randrange(every), len(out), every):
+        out[k] = f"new{r.randrange(10**6)}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("small", [32, 3])
+def test_pipeline_near_duplicates_equal_brute_force_jaccard(spark, small):
+    docs = {k: words(150, k) for k in range(40)}
+    docs |= {100 + k: edited(docs[k % 40], (20, 40, 60, 90)[k % 4], k) for k in range(120)}
+    docs |= {300 + k: edited(docs[7], 70, 500 + k) for k in range(30)}  # one large group
+    docs |= {400: "", 401: " ", 402: "two words", 403: "TWO  words", 404: None}
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = {k: shingles(t) for k, t in docs.items()}
+    parent = {k: k for k in docs}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in docs:
+        for b in docs:
+            if a < b and root(a) != root(b) and (sets[a] == sets[b] or len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b])):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    df = spark.createDataFrame([*docs.items(), (None, "no id here")], "doc_id long, text string").repartition(3)
+    expected = {root(k) for k in docs}
+    assert 45 < len(expected) < 160
+    got = [r.doc_id for r in near_dup.keep_one(df, small).collect()]
+    assert None in got and len(got) == len(expected) + 1
+    assert {k for k in got if k is not None} == expected
+    if small == 32:  # the SimHash stage left more of them
+        assert simhash.keep_one(df).count() > len(expected) + 20
+        import corpus_pipeline
+
+        assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()} == expected | {None}
+    assert near_dup.keep_one(df.limit(0)).count() == 0
