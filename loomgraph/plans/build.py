@@ -6,6 +6,7 @@ import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,9 +32,10 @@ _KINDS = {
 
 
 def front_ends() -> dict[str, FrontEnd]:
-    from ..sources import python_front
+    from ..sources import brace_front, python_front, ruby_front
 
-    return {"python": python_front.parse}
+    ends: dict[str, FrontEnd] = {name: partial(brace_front.parse, name) for name in brace_front.LANGUAGES}
+    return ends | {"python": python_front.parse, "ruby": ruby_front.parse}
 
 
 def parse(files: DataFrame, ends: dict[str, FrontEnd] | None = None) -> DataFrame:

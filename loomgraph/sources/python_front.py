@@ -30,15 +30,16 @@ class _Columns:
 
 
 def visibility(name: str) -> str | None:
+    """By the leading underscores; a name with two at both ends counts as one with one."""
     if name.startswith("__") and not name.endswith("__"):
         return "private"
-    return "protected" if name.startswith("_") and not name.startswith("__") else None
+    return "protected" if name.startswith("_") else None
 
 
-def _params(args: ast.arguments, method: bool) -> tuple[int, bool]:
-    n = len(args.posonlyargs) + len(args.args) + len(args.kwonlyargs)
-    first = [a.arg for a in [*args.posonlyargs, *args.args][:1]]
-    return n - (method and first in (["self"], ["cls"])), bool(args.vararg or args.kwarg)
+def _params(args: ast.arguments) -> tuple[int, bool]:
+    """Every entry of the list counts: self, the marks / and *, and the ones that collect the rest."""
+    n = len(args.posonlyargs) + bool(args.posonlyargs) + len(args.args) + len(args.kwonlyargs) + bool(args.kwonlyargs and not args.vararg)
+    return n + bool(args.vararg) + bool(args.kwarg), bool(args.vararg or args.kwarg)
 
 
 def parse(source: str) -> dict[str, list[dict]] | None:
@@ -65,7 +66,8 @@ def parse(source: str) -> dict[str, list[dict]] | None:
     def ref(node: ast.AST, role: str, args: int | None = None) -> None:
         if isinstance(node, ast.Name):
             out["refs"].append({"name": node.id, "role": role, "range": c.span(node), "receiver": None, "arg_count": args})
-        elif isinstance(node, ast.Attribute) and (receiver := text(node.value)):
+        elif isinstance(node, ast.Attribute):
+            receiver = ast.unparse(node.value)
             line, col = node.end_lineno, node.end_col_offset - len(node.attr.encode())
             out["refs"].append({"name": node.attr, "role": role, "range": (*c.at(line, col), *c.at(node.end_lineno, node.end_col_offset)), "receiver": receiver, "arg_count": args})
 
@@ -84,12 +86,12 @@ def parse(source: str) -> dict[str, list[dict]] | None:
 
     def walk(node: ast.AST, scope: int, owner: str | None, top: bool) -> None:
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            n, variadic = _params(node.args, owner is not None)
+            n, variadic = _params(node.args)
             marks = {text(d) for d in node.decorator_list}
             where = c.find(node.lineno, node.col_offset + 3, node.name)
             symbol(
                 node, node.name, "function", where, owner, scope, param_count=n, variadic=variadic,
-                is_static=bool(marks & {"staticmethod", "classmethod"}), is_abstract=bool(marks & {"abstractmethod", "abc.abstractmethod"}),
+                is_static="staticmethod" in marks or None, is_abstract="abstractmethod" in marks or None,
             )
             for e in [*node.decorator_list, *node.args.defaults, *[d for d in node.args.kw_defaults if d]]:
                 walk(e, scope, owner, False)
@@ -110,7 +112,7 @@ def parse(source: str) -> dict[str, list[dict]] | None:
                 walk(s, inner, node.name, False)
         elif isinstance(node, ast.Import):
             for a in node.names:
-                out["imports"].append({"source": a.name, "kind": "namespace", "imported_name": None, "local_name": a.asname or a.name})
+                out["imports"].append({"source": a.name, "kind": "namespace", "imported_name": None, "local_name": a.asname or a.name.partition(".")[0]})
         elif isinstance(node, ast.ImportFrom):
             source = "." * node.level + (node.module or "")
             for a in node.names:
