@@ -15,14 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_texts, texts
+from .common import texts
 
 BLOCK = 576
 RATE_IN, UP, DOWN = 12_000, 2, 3
 RATE = RATE_IN * UP // DOWN
 TAPS = 12
 FRAME, HOP, MELS = 256, 128, 24
-TENSOR_FRAMES = 64
+TENSOR_FRAMES = 16
 CHUNK_FRAMES = 4096
 HIGH_DB, LOW_DB = 1.5, 0.5
 
@@ -125,75 +125,81 @@ class Analyser:
         edge = np.flatnonzero(np.diff(np.concatenate([[False], on, [False]]).astype(np.int8)))
         return edge.reshape(-1, 2)
 
-    def feature(self, samples: bytes) -> str:
-        total, square, energy, n = np.zeros(MELS), np.zeros(MELS), [], 0
+    def clip(self, samples: bytes) -> tuple[str, np.ndarray, np.ndarray, int]:
+        """Feature string, segments (n, 2) and log-mel frames in blocks (n, TENSOR_FRAMES, MELS), the last one padded with silence,
+        and the number of frames; spans in frames."""
+        total, square, parts = np.zeros(MELS), np.zeros(MELS), []
         for m in self.log_mel(samples):
             total += m.sum(0, dtype=np.float64)
             square += np.square(m, dtype=np.float64).sum(0)
-            energy.append(m.mean(1))
-            n += len(m)
+            parts.append(m)
+        mel = np.concatenate(parts)
+        n = len(mel)
         mean = total / n
         sd = np.sqrt(np.maximum(square / n - mean**2, 0))
-        seg = self.segments(np.concatenate(energy))
-        spans = (seg[:, 1] - seg[:, 0]).sum() * HOP / RATE if len(seg) else 0.0
-        return f"frames={n};segments={len(seg)};active_s={spans:.3f};mel=" + ",".join(f"{x:.2f}" for x in mean) + ";sd=" + ",".join(f"{x:.2f}" for x in sd)
+        seg = self.segments(mel.mean(1))
+        active = (seg[:, 1] - seg[:, 0]).sum() * HOP / RATE if len(seg) else 0.0
+        blocks = np.full((-(-n // TENSOR_FRAMES), TENSOR_FRAMES, MELS), np.float32(-6))
+        blocks.reshape(-1, MELS)[:n] = mel
+        feature = f"frames={n};segments={len(seg)};active_s={active:.3f};mel=" + ",".join(f"{x:.2f}" for x in mean) + ";sd=" + ",".join(f"{x:.2f}" for x in sd)
+        return feature, seg, blocks, n
 
 
-def digest_columns(df: DataFrame) -> DataFrame:
-    """One row per document: the stored clip's digests and its features."""
+DIGESTS = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+SPAN = "start_s: double, end_s: double"
+CLIP = (
+    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
+    f"segments array<struct<{SPAN}>>, tensors array<struct<{SPAN}, tensor: array<float>>>"
+)
+HELD_VALUES = 4_000_000  # tensor values in one Arrow batch, at least
 
-    def make():
-        a = Analyser()
 
-        def run(batch: list[str]) -> dict[str, list]:
-            out: dict[str, list] = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-            for text in batch:
-                raw = text.encode()
-                media = wav_write(pad_payload(raw))
-                _, back = wav_read(media)
-                for k, v in zip(
-                    out,
-                    (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), a.feature(back)),
-                ):
-                    out[k].append(v)
-            return out
+def _lists(counts: list[int], columns: dict[str, pa.Array]) -> pa.ListArray:
+    """Lists of ``counts`` structs."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
 
-        return run
 
-    return map_texts(
-        texts(df), make, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    )
+def _seconds(frames: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.concatenate([np.zeros(0), *frames]) * HOP / RATE, pa.float64())
 
 
-def log_mel_tensors(df: DataFrame) -> DataFrame:
-    """Rows (doc_id, block, start_s, end_s, tensor): TENSOR_FRAMES x MELS floats, the last block padded with silence.
+def clips(df: DataFrame) -> DataFrame:
+    """One row per document: the stored clip's digests and feature, its segments, and its log-mel frames as tensors of the fixed
+    shape (TENSOR_FRAMES, MELS), row by row in ``tensor``, each with its time span. ``as_tensor_array`` gives the Arrow type."""
 
-    Spark carries the tensor as array<float> of constant size; ``as_tensor_array`` gives the Arrow extension array.
-    """
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        ids, digests, segments, blocks, sizes = zip(*rows)
+        flat = np.concatenate([b.ravel() for b in blocks])
+        per = [np.arange(len(b)) * TENSOR_FRAMES for b in blocks]
+        tensor = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, TENSOR_FRAMES * MELS), pa.int32()), pa.array(flat))
+        columns = [pa.array(ids, pa.int64())] + [pa.array(c, t) for c, t in zip(zip(*digests), DIGESTS.values())]
+        columns.append(_lists([len(x) for x in segments], {"start_s": _seconds([x[:, 0] for x in segments]), "end_s": _seconds([x[:, 1] for x in segments])}))
+        stop = [np.minimum(x + TENSOR_FRAMES, n) for x, n in zip(per, sizes)]
+        columns.append(_lists([len(b) for b in blocks], {"start_s": _seconds(per), "end_s": _seconds(stop), "tensor": tensor}))
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", *DIGESTS, "segments", "tensors"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = Analyser()
+        a, rows, held = Analyser(), [], 0
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                at = 0
-                for m in a.log_mel(wav_read(wav_write(pad_payload(text.encode())))[1]):
-                    n = -(-len(m) // TENSOR_FRAMES)
-                    full = np.full((n * TENSOR_FRAMES, MELS), np.float32(-6))
-                    full[: len(m)] = m
-                    start = (at + np.arange(n) * TENSOR_FRAMES) * HOP / RATE
-                    end = (at + np.minimum((np.arange(n) + 1) * TENSOR_FRAMES, len(m))) * HOP / RATE
-                    cells = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * TENSOR_FRAMES * MELS, full.ravel())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([doc_id] * n, pa.int64()), pa.array(at // TENSOR_FRAMES + np.arange(n)), pa.array(start), pa.array(end), cells],
-                        names=["doc_id", "block", "start_s", "end_s", "tensor"],
-                    )
-                    at += len(m)
-
-    return texts(df).mapInArrow(run, "doc_id long, block long, start_s double, end_s double, tensor array<float>")
+                raw = text.encode()
+                media = wav_write(pad_payload(raw))
+                _, back = wav_read(media)
+                feature, segments, blocks, n = a.clip(back)
+                digests = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature)
+                rows.append((doc_id, digests, segments, blocks, n))
+                held += blocks.size
+                if held >= HELD_VALUES:
+                    yield batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield batch(rows)
+
+    return texts(df).mapInArrow(run, CLIP)
 
 
 def as_tensor_array(column: pa.ChunkedArray | pa.Array) -> pa.FixedShapeTensorArray:
-    """The ``tensor`` column of a collected table as a fixed-shape Arrow tensor array."""
+    """A collected column of tensor values as a fixed-shape Arrow tensor array."""
     flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
     kind = pa.fixed_shape_tensor(pa.float32(), (TENSOR_FRAMES, MELS))
     return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, TENSOR_FRAMES * MELS))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -22,8 +23,8 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     )
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict[str, list]]], schema: str) -> DataFrame:
-    """Map (doc_id, text) batches to one row per document: doc_id plus the columns of ``schema``.
+def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict[str, list]]], schema: str, id_type: str = "long") -> DataFrame:
+    """Map (doc_id, text) batches to one row per document: doc_id (of ``id_type``) plus the columns of ``schema``.
 
     ``make`` runs once per Python worker task and returns the batch function, so that models load once per task.
     """
@@ -40,21 +41,46 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict[str,
                 [b.column("doc_id")] + [pa.array(got[n], kinds[t]) for n, t in fields], names=["doc_id"] + [n for n, _ in fields]
             )
 
-    return df.mapInArrow(run, "doc_id long, " + schema)
+    return df.mapInArrow(run, f"doc_id {id_type}, {schema}")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; a folder of our own only where it is unset (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt_"))
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir. Where it is unset, a folder of our own, on a single machine only (tests)."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if known is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return known or tempfile.mkdtemp(prefix="shared_")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from those files."""
-    ensure_checkpoint_dir(df.sparkSession)
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of tables that were cut and aren't referred to any more. Spark deletes them when the driver's
+    objects are collected, which else may take until long after the job."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+HOT_SHARE = 1000
+
+
+def lookup(rows: DataFrame, facts: DataFrame, key: str | list[str], total: int) -> DataFrame:
+    """``rows`` joined to ``facts`` (one row a key, ``n`` = how many of the ``total`` rows have it) by ``key``.
+
+    Keys with more than a 1 / HOT_SHARE of all rows are broadcast, HOT_SHARE facts at most; their rows aren't shuffled, so no
+    key lands in one task. ``rows`` is read twice: give a checkpoint or a scan. Null keys find nothing.
+    """
+    limit = max(1, total // HOT_SHARE)
+    hot, cold = facts.where(F.col("n") > limit).drop("n"), facts.where(F.col("n") <= limit).drop("n")
+    near = rows.join(F.broadcast(hot), key)
+    return near.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))

@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, audio, chat, license_scan, packing, sentencepiece_codec, simhash, suffix_dedup, toxicity, url_filter
 from .common import table
 
-TOKENIZERS = Path("/opt/tokenizers")
-PIECE_MODEL = str(TOKENIZERS / "piece_bpe_32k.model")
-BYTE_BPE = str(TOKENIZERS / "byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +32,7 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.digest_columns(table(spark, sf_dir, "documents"))
+    return audio.clips(table(spark, sf_dir, "documents"))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +48,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transcripts(conversations: DataFrame) -> DataFrame:
-    """Messages as raw transcript lines: three in five with a speaker marker, in one of three spellings, chosen by a hash."""
+    """Messages as a transcript shows them: three in five with a speaker marker, in one of three spellings, chosen by a hash."""
     way = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(5))
     name = F.when(F.col("role") == "user", F.when(way == 1, "Human").otherwise("User")).otherwise(F.initcap("role"))
     marker = F.when(way == 0, F.concat(name, F.lit(": "))).when(way == 1, F.concat(F.lit("### "), name, F.lit("\n"))).when(way == 2, F.concat(F.lit("<|"), F.lower(name), F.lit("|> ")))
@@ -58,13 +57,12 @@ def transcripts(conversations: DataFrame) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conv_id, turn, true_role, role (recovered from the text alone), marked, rendered; the model learns from other conversations
-    than those whose crc32(conv_id) mod 3 is 1."""
-    lines = transcripts(table(spark, sf_dir, "conversations"))
-    learn = lines.where(F.crc32(F.col("conv_id").cast("string")) % 3 != 1).withColumnRenamed("true_role", "role")
-    model = chat.fit(chat.messages(learn, ["role"]))
-    found = chat.decode(chat.messages(lines, ["true_role"]), model, "true_role")
-    return found.select("conv_id", "turn", "true_role", "role", "marked", chat.render(F.col("role"), F.col("body")).alias("rendered"))
+    """conv_id, turn, line, true_role, role, begins, marked, rendered, one row per line of the transcripts; role and begins are
+    recovered from the lines alone. The model learns from other conversations than those whose crc32(conv_id) mod 3 is 1."""
+    raw = transcripts(table(spark, sf_dir, "conversations"))
+    learn = raw.where(F.crc32(F.col("conv_id").cast("string")) % 3 != 1).withColumnRenamed("true_role", "role")
+    found = chat.decode(chat.lines(raw, ["true_role"]), chat.fit(chat.lines(learn, ["role"])), "true_role")
+    return found.drop("body")
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

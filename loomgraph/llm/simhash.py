@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, map_texts, shuffle_partitions, texts
+from .common import cut, lookup, map_texts, shuffle_partitions, texts
 from .graph import components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -162,27 +162,56 @@ def links(distinct: DataFrame, bucket_limit: int = BUCKET_LIMIT, distance: int =
     return edges.union(met).distinct()
 
 
+def labelled(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """``docs`` (doc_id, fp and more; a checkpoint) with component_id, the least doc_id of all documents linked."""
+    per = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+    n_fp, n_docs = per.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    roots = components(links(per.select("fp"), bucket_limit)).withColumnRenamed("node", "fp")
+    owned = cut(per.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    least = owned.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    of = lookup(owned.select("root", "fp", "copies"), least, "root", n_fp)
+    return lookup(docs, of.select("fp", "component_id", F.col("copies").alias("n")), "fp", n_docs)
+
+
 def near_duplicates(df: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """doc_id, fingerprint, component_id per document."""
-    docs = cut(fingerprints(df))
-    per = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(per.select("fp"), bucket_limit))
-    owned = per.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = owned.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = owned.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return docs.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = labelled(cut(fingerprints(df)), bucket_limit)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, all columns as they are, of which one of each near-duplicate group stays: the least doc_id's.
+def row_key(df: DataFrame) -> list[Column]:
+    """Two hashes that name a row by its doc_id and text."""
+    row = [F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))]
+    return [F.xxhash64(*row), F.xxhash64(F.lit("second"), *row)]
 
-    Of rows that repeat a doc_id the one with the least text stays. Rows without a doc_id can't be told apart and stay.
-    """
-    return keep_rows(df, near_duplicates(df).where("doc_id = component_id").select("doc_id").distinct())
+
+def least_row(doc_id: str = "doc_id") -> Column:
+    """Aggregate: the row of a group that stays, by the least doc_id (nulls last), then by the row's hashes k1 and k2."""
+    return F.min(F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("doc_id"), "k1", "k2"))
 
 
 def keep_rows(df: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``df`` with the doc_ids in ``kept``, one of each, and those without a doc_id."""
-    first = Window.partitionBy("doc_id").orderBy("text")
-    one = df.join(kept, "doc_id", "left_semi").withColumn("__copy", F.row_number().over(first)).where("__copy = 1").drop("__copy")
-    return one.unionByName(df.where("doc_id IS NULL"))
+    """The rows of ``df`` with the hashes (k1, k2) in ``kept``, one of each. Copies of one row are cut before the shuffle."""
+    names = [f"__{x}_{len(df.columns)}" for x in ("k1", "k2", "copy")]
+    keyed = df.select("*", *[c.alias(n) for c, n in zip(row_key(df), names)])
+    one = keyed.withColumn(names[2], F.row_number().over(Window.partitionBy(*names[:2]).orderBy(names[0]))).where(F.col(names[2]) == 1)
+    return one.join(kept.select(F.col("k1").alias(names[0]), F.col("k2").alias(names[1])), names[:2], "left_semi").drop(*names)
+
+
+def keep_one(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, all columns as they are, of which one of each near-duplicate group stays.
+
+    It is the row with the least doc_id, rows without one last; of different texts with that doc_id the one whose hash is least.
+    Rows decide for themselves: of rows that repeat a doc_id each stays that stands for its group.
+    """
+    keys = dict(zip(("k1", "k2"), row_key(df)))
+
+    def make():
+        return lambda batch: {"fp": np.array([fingerprint(t) for t in batch], np.uint64).view(np.int64)}
+
+    rows = df.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(n) for n, c in keys.items()]).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = cut(map_texts(rows, make, "fp long", "struct<doc_id: long, k1: long, k2: long>").select("doc_id.*", "fp"))
+    per = cut(docs.groupBy("fp").agg(least_row().alias("first")))
+    roots = components(links(per.select("fp"))).withColumnRenamed("node", "fp")
+    kept = per.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    return keep_rows(df, kept.select("first.k1", "first.k2"))

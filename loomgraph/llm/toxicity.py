@@ -2,8 +2,9 @@
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. A text's features are the distinct hashes of its
 words, its word pairs and its pairs with one word left out. Training is per-coordinate FTRL-proximal with L1, in one task over a
-bounded sample of labelled rows (``sample_rows``, chosen by a hash of the id); the weights that L1 leaves are few (2**BITS at
-most) and are broadcast. Scoring reads every whole text.
+bounded sample of labelled rows: at most ``sample_rows`` of at most SAMPLE_BYTES bytes each, those whose text's hash is least,
+which is also their order, so ids play no part. Features are made by all tasks before. The weights that L1 leaves are few
+(2**BITS at most) and are broadcast. Scoring reads every whole text.
 
 Null texts are empty; an empty text scores the bias. Labels that are null don't train; of several labels of a document the
 largest holds. Rows without a doc_id are scored, not trained on. Without any label to learn from every score is 0. An empty
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import map_texts, texts
 
 BITS = 20
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 32_768
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 10.0, 0.0, 4
 POSITIVE_WEIGHT = 3.0  # toxic documents are few
 THRESHOLD = 0.7
@@ -80,11 +81,13 @@ def features(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([text, text[:-1][near], text[:-2][far]]), index.astype(np.int64)
 
 
-def train(examples: Iterator[tuple[str, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and values of the non-zero weights; index 2**BITS is the bias."""
-    rows = []
-    for text, y in examples:
-        rows.append((np.append(np.unique(features([text])[1]), 1 << BITS), y))
+def example(text: str) -> np.ndarray:
+    """The different features of a text and the bias, index 2**BITS."""
+    return np.append(np.unique(features([text])[1]), 1 << BITS).astype(np.int32)
+
+
+def train(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and values of the non-zero weights after FTRL-proximal steps over (features, label) in the given order."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     l1 = np.full((1 << BITS) + 1, L1)
     l1[-1] = 0
@@ -111,21 +114,28 @@ def is_held_out(doc_id: Column) -> Column:
 
 def fit(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray]:
     """Weights from at most ``sample_rows`` labelled documents that aren't held out."""
-    sample = (
+    known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
         .where(~is_held_out(F.col("doc_id")) & F.col("y").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id").agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
-    chosen = texts(df).join(F.broadcast(sample), "doc_id")  # sample_rows rows of two numbers
+    short = texts(df).where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", F.xxhash64("text").alias("key"), "text")
+    least = short.select("doc_id", "key").join(known, "doc_id").orderBy("key", "doc_id").limit(sample_rows).select("doc_id", "key", "y").distinct()
+    chosen = short.join(F.broadcast(least), ["doc_id", "key"])  # sample_rows rows of three numbers
+
+    def prepare(batches):
+        for b in batches:
+            if b.num_rows:
+                i = pa.array([example(t) for t in b.column("text").to_pylist()], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("y"), i], names=["key", "y", "i"])
 
     def run(batches):
-        rows = [r for b in batches for r in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("y").to_pylist())]
-        seed = lambda r: (r[0] * 0x9E3779B97F4A7C15 & 0xFFFFFFFF, r)  # noqa: E731  an order that isn't the table's
-        index, value = train((t, y) for _, t, y in sorted(rows, key=seed)) if rows else ([], [])
+        rows = [(i.values.to_numpy(), y) for b in batches for y, i in zip(b.column("y").to_pylist(), b.column("i"))]
+        index, value = train(rows) if rows else ([], [])
         yield pa.RecordBatch.from_arrays([pa.array(index, pa.int64()), pa.array(value, pa.float64())], names=["i", "w"])
 
-    got = chosen.repartition(1).mapInArrow(run, "i long, w double").collect() if sample_rows else []
+    ready = chosen.select("key", "y", "text").mapInArrow(prepare, "key long, y int, i array<int>").orderBy("key", "y").limit(sample_rows)
+    got = ready.mapInArrow(run, "i long, w double").collect() if sample_rows else []
     return np.array([r["i"] for r in got], np.int64), np.array([r["w"] for r in got])
 
 

@@ -1,6 +1,7 @@
 """URL filters, chat, neighbours, components, and the pipeline."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -57,6 +58,51 @@ def test_boosted_trees_learn_and_compile(spark):
     assert np.allclose([r[0] for r in df.select(total).collect()], [margin(b) - prior for b, *_ in rows])
 
 
+def plain_features(urls):
+    """Bins of (url, host, path, verdict or None, fold) rows, by the features' definitions."""
+    from collections import Counter
+    from math import log2
+
+    suffix = lambda h: h.rpartition(".")[2]
+    n = Counter(suffix(u[1]) for u in urls)
+    out = []
+    for url, host, path, verdict, fold in urls:
+        others = [v for _, h, _, v, f in urls if v and suffix(h) == suffix(host) and not (verdict and f == fold)]
+        rate = (others.count("block") + 1) / (len(others) + 2)
+        chars = Counter(url)
+        entropy = -sum(c / len(url) * log2(c / len(url)) for c in chars.values()) if url else 0
+        raw = [len(url) / 8, path.count("/"), sum(c in "0123456789" for c in url) * 30 / max(1, len(url)), entropy * 2.5, len(re.findall("[?&][^=&#]+=", url)), host.count(".") + 1, -log2(n[suffix(host)] / len(urls)) * 2, rate * 10]
+        out.append(tuple(int(min(max(x // 1, 0), url_filter.BINS - 1)) for x in raw))
+    return out
+
+
+def test_url_verdicts_equal_plain_boosting(spark):
+    """The query's margins against features by definition, one row per labelled URL, and the trees' values row by row."""
+    r = random.Random(5)
+    urls = [f"http://{r.choice(['a', 'b.c', 'shop'])}.example.{r.choice(['com', 'net', 'org'])}/{r.choice(['en', 'de', 'es'])}/{r.randrange(1000)}{r.choice(['', '?q=1', '/x'])}" for _ in range(400)]
+    urls += urls[:1] * 50 + [None, "", "no scheme"]
+    df = spark.createDataFrame([(k, u, "x", 1) for k, u in enumerate(urls)], "page_id long, url string, suffix string, n int")
+    rows = [(x.url or "", x.host, x.path, x.fit and x.fit.verdict, x.fold, tuple(x[f] for f in url_filter.FEATURES)) for x in url_filter.featured(df).collect()]
+    assert [x[-1] for x in rows] == plain_features([x[:-1] for x in rows])
+    labelled = {x[0]: (x[-1], x[3]) for x in rows if x[3]}
+    ones = sum(v == "block" for _, v in labelled.values())
+    weight = {"block": len(labelled) / 2 / ones, "allow": len(labelled) / 2 / (len(labelled) - ones)}
+    counts = {}
+    for b, v in labelled.values():
+        w = counts.setdefault(b, [0.0, 0.0])
+        w[0] += weight[v]
+        w[1] += weight[v] * (v == "block")
+    prior, trees = url_filter.boost(sorted((b, *w) for b, w in counts.items()))
+    margin = {x[0]: prior + sum(url_filter.value(t, x[-1]) for t in trees) for x in rows}
+    got = url_filter.judge(df).collect()
+    assert len(got) == len(urls) and len(trees) == url_filter.TREES
+    for x in got:
+        want = margin[urls[x.page_id] or ""]
+        assert abs(x.margin - want) < 1e-6 and x.verdict == (x.verdict if x.rule else "block" if want >= 0 else "allow")
+    nulls = url_filter.judge(df.where("url IS NULL")).collect()
+    assert [(x.host, x.path, x.rule, x.verdict) for x in nulls] == [("", "", None, "allow")]
+
+
 def test_native_operators_run_no_python(spark, tmp_path):
     df = spark.createDataFrame([(r[0], r[1]) for r in URLS], "page_id long, url string")
     df.write.parquet(str(tmp_path / "pages"))
@@ -77,32 +123,78 @@ def conversations(n=80):
     return out
 
 
-def test_chat_roles_and_rendering(spark):
+def test_chat_turns_and_rendering(spark):
     rows = conversations()
-    df = spark.createDataFrame(rows, CHAT)
-    model = chat.fit(chat.messages(df, ["role"]))
-    out = chat.decode(chat.messages(df.withColumnRenamed("role", "true"), ["true"]), model, "true").toPandas()
-    assert len(out) == len(rows) and (out.role == out.true).mean() > 0.97
+    df = spark.createDataFrame([(c, t, x, r, "clash", 1) for c, t, x, r in rows], CHAT + ", state string, line int")
+    model = chat.fit(chat.lines(df, ["role"]))
+    out = chat.decode(chat.lines(df.withColumnRenamed("role", "true"), ["true"]), model, "true").toPandas()
+    assert len(out) == sum(x.count("\n") + 1 for _, _, x, _ in rows)
+    assert (out.role == out.true).mean() > 0.95 and (out.begins == (out.line == 0)).mean() > 0.95
+    for _, lines in out.sort_values(["conv_id", "turn", "line"]).groupby("conv_id"):
+        text = "".join(lines.rendered)
+        turns = re.findall(r"<\|(\w+)\|>\n(.*?)<\|end\|>\n", text, re.S)
+        assert "".join(f"<|{r}|>\n{b}<|end|>\n" for r, b in turns) == text and len(turns) == lines.begins.sum()
+        assert "".join(b for _, b in turns).split() == " ".join(lines.body).split()
     assert chat.split_marker("Human: hi") == (2, "hi") and chat.split_marker("answers: hi")[0] == 0
+    assert chat.split_marker("### Assistant") == (3, "") and chat.split_marker("a")[0] == 0
+
+
+def best_path(model, emission):
+    """The best sum over all state sequences."""
+    from itertools import product
+
+    best = (-np.inf, None)
+    for path in product(range(chat.STATES), repeat=len(emission)):
+        total = model.first[path[0]] + sum(emission[k][s] for k, s in enumerate(path)) + sum(model.step[a, b] for a, b in zip(path, path[1:]))
+        best = (total, path) if total > best[0] else best
+    return best[1]
+
+
+def test_viterbi_is_the_best_of_all_paths():
+    r = np.random.default_rng(1)
+    for n in range(1, 6):
+        model = chat.Model(r.random(chat.STATES) * 5, r.random((chat.STATES, chat.STATES)) * 5, [r.random((chat.STATES, k)) * 5 for k in chat.SIZES])
+        emission = model.emission([("Q: " if k % 3 == 0 else "") + words(k + 1, k) for k in range(n)])
+        assert tuple(chat.viterbi(model, emission)) == best_path(model, emission)
 
 
-def test_one_long_conversation_over_all_tasks_is_plain_viterbi(spark):
-    rows = [(7, k, r[2], r[3]) for k, r in enumerate(conversations(60))]
+@pytest.mark.parametrize("tasks", [1, 7, 40])
+def test_one_long_conversation_over_all_tasks_is_plain_viterbi(spark, tasks, monkeypatch):
+    """Neither the model nor the states depend on how many tasks the lines are dealt to."""
+    monkeypatch.setattr(chat, "shuffle_partitions", lambda spark: tasks)
+    monkeypatch.setattr(chat, "CHUNK", 5)
+    rows = [(7 if k < 150 else k, k, r[2], r[3]) for k, r in enumerate(conversations(60))]
     df = spark.createDataFrame(rows, CHAT)
-    model = chat.fit(chat.messages(df, ["role"]))
-    ordered = chat.messages(df, ["role"])
-    assert ordered.rdd.getNumPartitions() > 1
-    got = [r.found for r in sorted(chat.decode(ordered.withColumnRenamed("role", "true"), model, "true").selectExpr("turn", "role as found").collect())]
-    assert got == [chat.ROLES[s] for s in chat.viterbi(model, model.emission([r[2] for r in rows]))]
+    ordered = chat.lines(df, ["role"])
+    assert ordered.rdd.getNumPartitions() == tasks
+    model = chat.fit(ordered)
+    flat = [(c, t, k, x, role) for c, t, text, role in rows for k, x in enumerate(text.split("\n"))]
+    first, step, tables = np.zeros(chat.STATES), np.zeros((chat.STATES, chat.STATES)), [np.zeros((chat.STATES, n)) for n in chat.SIZES]
+    for k, (c, _, line, x, role) in enumerate(flat):
+        s = 2 * chat.ROLES.index(role) + (line > 0)
+        for t, v in zip(tables, chat.observe(x)):
+            t[s, v] += 1
+        if k and flat[k - 1][0] == c:
+            step[2 * chat.ROLES.index(flat[k - 1][4]) + (flat[k - 1][2] > 0), s] += 1
+        else:
+            first[s] += 1
+    plain = chat.Model(first, step, tables)
+    assert np.array_equal(plain.first, model.first) and np.array_equal(plain.step, model.step) and all(np.array_equal(a, b) for a, b in zip(plain.tables, model.tables))
+    found = chat.decode(ordered.withColumnRenamed("role", "true"), model, "true").orderBy("turn", "line").collect()
+    want = []
+    for conv in dict.fromkeys(f[0] for f in flat):
+        want += chat.viterbi(plain, plain.emission([f[3] for f in flat if f[0] == conv])).tolist()
+    assert [(r.role, r.begins) for r in found] == [(chat.ROLES[s // 2], s % 2 == 0) for s in want]
 
 
 def test_chat_odd_rows(spark):
-    odd = [(None, None, None, None), (None, 1, "", "user"), (1, 1, "a", "user"), (1, 1, "a", "user"), (2, 0, "q: " + "word " * 50_000, "other")]
+    odd = [(None, None, None, None), (None, 1, "", "user"), (1, 1, "a\nb", "user"), (1, 1, "a\nb", "user"), (2, 0, "q: " + "word " * 50_000, "other")]
     df = spark.createDataFrame(odd, CHAT)
-    model = chat.fit(chat.messages(df, ["role"]))
-    assert chat.decode(chat.messages(df.withColumnRenamed("role", "t"), ["t"]), model, "t").count() == len(odd)
+    model = chat.fit(chat.lines(df, ["role"]))
+    got = chat.decode(chat.lines(df.withColumnRenamed("role", "t"), ["t"]), model, "t").collect()
+    assert sorted(r.conv_id or 0 for r in got) == [0, 0, 1, 1, 1, 1, 2] and all(r.role in chat.ROLES for r in got)
     none = df.limit(0)
-    assert chat.decode(chat.messages(none.withColumnRenamed("role", "t"), ["t"]), chat.fit(chat.messages(none, ["role"])), "t").count() == 0
+    assert chat.decode(chat.lines(none.withColumnRenamed("role", "t"), ["t"]), chat.fit(chat.lines(none, ["role"])), "t").count() == 0
 
 
 def brute(rows, every, top):
@@ -114,16 +206,16 @@ def brute(rows, every, top):
     return out
 
 
-@pytest.mark.parametrize("norms", [False, True])
+@pytest.mark.parametrize("norms", ["equal", "uniform", "heavy", "one"])
 def test_neighbours_are_found(spark, norms):
     r = np.random.default_rng(3)
     x = r.standard_normal((700, 16)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    x *= r.uniform(0.5, 2, (700, 1)) if norms else 1
+    x *= {"equal": 1, "uniform": r.uniform(0.5, 2, (700, 1)), "heavy": r.lognormal(0, 1, (700, 1)), "one": np.where(np.arange(700) == 77, 100, 1)[:, None]}[norms]
     rows = [(k, v.tolist()) for k, v in enumerate(x)]
     rows += [(k, rows[10][1]) for k in range(1000, 1060)]  # a large class of one vector
     rows += [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [None] + [1.0] * 15), (None, [1.0] * 16), (2020, [])]
-    df = spark.createDataFrame([(*t, 1) for t in rows], "vec_id long, embedding array<float>, id int")
+    df = spark.createDataFrame([(*t, 1, 2, 3, "x", "y") for t in rows] + [(2040, [1.0] * 15, 1, 2, 3, "x", "y")], "vec_id long, embedding array<float>, id int, u int, w int, q string, v string")
     got = ann.nearest(df, block=128, trees=4).toPandas()
     want = brute([(i, v) for i, v in rows], 20, 20)
     assert set(got.query_id) == set(want)
@@ -162,15 +254,17 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert all((k % 5 != 0 or k % 11 == 0) for k in kept) and len(kept) > 180
     near = simhash.near_duplicates(spark.createDataFrame(list(kept.items()), "doc_id long, text string")).collect()
     kept = {r.doc_id: kept[r.doc_id] for r in near if r.doc_id == r.component_id}
-    from .test_texts import brute_removal
+    from .test_texts import brute_words
 
     order = sorted(kept)
-    gone = brute_removal([kept[k].encode() for k in order], 400)
-    kept = {k: np.frombuffer(kept[k].encode(), np.uint8)[~g].tobytes().decode(errors="ignore") for k, g in zip(order, gone)}
+    gone = brute_words([kept[k] for k in order], 48)
+    assert any(g.any() for g in gone)
+    split = {k: re.findall(r"\S+\s*", kept[k], re.A) for k in order}
+    kept = {k: "".join(x for x, dead in zip(split[k], g) if not dead) for k, g in zip(order, gone)}
     out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     tokens = packing.Tokens(queries.BYTE_BPE)
     assert out.groupby("doc_id").length.sum().to_dict() == {k: len(tokens.encode(t)) // 4 + 1 for k, t in kept.items()}
-    assert suffix_dedup.LENGTH == 400
+    assert suffix_dedup.LENGTH == 400 and suffix_dedup.WORDS.length == 48
 
 
 def edited(text, every, seed):

@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 import xxhash
 
-from loomgraph.llm import audio, license_scan, packing, sentencepiece_codec, simhash, suffix_dedup, toxicity
+from loomgraph.llm import audio, license_scan, near_dup, packing, sentencepiece_codec, simhash, suffix_dedup, toxicity
 from loomgraph.llm.queries import BYTE_BPE, PIECE_MODEL
 
 from .fixtures import documents, rows, words
@@ -30,7 +30,7 @@ def expected(fn):
 
 
 def test_audio_payload_and_features(spark):
-    got = collected(audio.digest_columns(documents(spark)))
+    got = collected(audio.clips(documents(spark)))
     for r, (doc_id, raw) in zip(got, expected(str.encode)):
         n = max(1, -(-len(raw) // 576)) * 576
         payload = raw + b"\xff" * (n - len(raw))
@@ -40,7 +40,7 @@ def test_audio_payload_and_features(spark):
     by_text = {}
     for r in got:
         assert by_text.setdefault(r.payload_sha256, r.feature) == r.feature
-    assert audio.digest_columns(documents(spark, [])).count() == 0
+    assert audio.clips(documents(spark, [])).count() == 0
 
 
 def test_audio_resampling_keeps_a_tone_and_chunks_agree():
@@ -63,8 +63,49 @@ def test_audio_segments_need_the_high_mark_to_open():
     assert audio.Analyser.segments(db / 10).tolist() == [[2, 5], [8, 9]]
 
 
+def plain_feature(payload):
+    """The clip's features sample by sample: each output of the resampler and each mel band as a plain sum."""
+    x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    bank, taps = audio.filter_bank().astype(float), audio.TAPS
+    y = np.zeros(len(x) * 2 // 3)
+    for k in range(len(y)):
+        base, phase = divmod(k * 3, 2)
+        y[k] = sum(bank[phase][t] * x[base - t] for t in range(taps) if 0 <= base - t < len(x))
+    n = max(1, -(-len(y) // 128))
+    y = np.concatenate([y, np.zeros(256 + n * 128)])
+    mel = np.zeros((n, 24))
+    for f in range(n):
+        spectrum = np.abs(np.fft.rfft(y[f * 128 : f * 128 + 256] * np.hanning(256))) ** 2
+        mel[f] = np.log10(spectrum @ audio.mel_matrix().astype(float) + 1e-6)
+    db, on, spans = 10 * mel.mean(1), False, []
+    for f, v in enumerate(db - np.median(db)):
+        if not on and v > audio.HIGH_DB:
+            on, spans = True, [*spans, [f, n]]
+        elif on and v < audio.LOW_DB:
+            on, spans[-1][1] = False, f
+    return n, spans, mel
+
+
+def test_audio_features_equal_plain_sums(spark):
+    got = collected(audio.clips(documents(spark)))
+    checked = 0
+    for r, (_, raw) in zip(got, expected(str.encode)):
+        if len(raw) > 4000:
+            continue
+        n, spans, mel = plain_feature(audio.pad_payload(raw))
+        parts = dict(p.split("=") for p in r.feature.split(";"))
+        assert int(parts["frames"]) == n and abs(float(parts["active_s"]) - sum(b - a for a, b in spans) * 128 / 8000) < 1e-3
+        assert np.allclose([float(v) for v in parts["mel"].split(",")], mel.mean(0), atol=0.02) and np.allclose([float(v) for v in parts["sd"].split(",")], mel.std(0), atol=0.02)
+        assert np.allclose(np.array([(s.start_s, s.end_s) for s in r.segments]).reshape(-1, 2), np.array(spans).reshape(-1, 2) * 128 / 8000)
+        flat = np.concatenate([t.tensor for t in r.tensors]).reshape(-1, 24)
+        assert np.allclose(flat[:n], mel, atol=0.05) and (flat[n:] == -6).all() and len(flat) % audio.TENSOR_FRAMES == 0
+        assert r.tensors[0].start_s == 0 and abs(r.tensors[-1].end_s - n * 128 / 8000) < 1e-9
+        checked += 1
+    assert checked > 15
+
+
 def test_audio_tensors_have_a_fixed_shape(spark):
-    table = audio.log_mel_tensors(documents(spark)).toArrow()
+    table = audio.clips(documents(spark)).selectExpr("explode(tensors) AS t").select("t.*").toArrow()
     tensors = audio.as_tensor_array(table.column("tensor"))
     assert tensors.to_numpy_ndarray().shape == (table.num_rows, audio.TENSOR_FRAMES, audio.MELS)
     assert all(a < b for a, b in zip(table.column("start_s").to_pylist(), table.column("end_s").to_pylist()))
@@ -175,6 +216,15 @@ def test_simhash_components(spark, limit):
     assert sorted(kept.doc_id.dropna().astype(int)) == sorted({v for v in least.values() if v is not None}) and kept.doc_id.isna().sum() == 1
 
 
+@pytest.mark.parametrize("keep", [simhash.keep_one, near_dup.keep_one])
+def test_rows_that_share_a_doc_id_decide_for_themselves(spark, keep):
+    b, z = words(40, 1), words(40, 2)
+    some = [(2, b), (4, z), (4, b), (4, z), (None, z), (None, words(40, 3)), (None, words(40, 3)), (7, None), (8, "")]
+    got = keep(documents(spark, [(*r, "en", "s", 1, 1, 2, 3, "x", 4) for r in some]))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(2, b), (4, z), (None, words(40, 3)), (7, None)], key=str)
+    assert got.schema == documents(spark).schema
+
+
 def test_simhash_empty_table(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
@@ -201,15 +251,69 @@ def brute_removal(raws, n):
     return out
 
 
-@pytest.mark.parametrize("bucket", [4_000_000, 1000])
-def test_repeated_bytes_go(spark, bucket, monkeypatch):
-    monkeypatch.setattr(suffix_dedup.repeated_spans, "__defaults__", (400, 160, bucket))
-    got = collected(suffix_dedup.remove_digests(documents(spark)))
-    order = [(d, t.encode()) for d, t in expected(str)]
-    for r, (doc_id, raw), gone in zip(got, order, brute_removal([t for _, t in order], 400)):
+def brute_words(texts, n):
+    """For each text, which of its words a run of n words covers that starts anywhere else too."""
+    per = [re.findall(rb"[^\x20\x09-\x0D]+", t.encode()) for t in texts]
+    seen = collections.Counter(tuple(w[i : i + n]) for w in per for i in range(len(w) - n + 1))
+    out = []
+    for w in per:
+        gone = np.zeros(len(w), bool)
+        for i in range(len(w) - n + 1):
+            if seen[tuple(w[i : i + n])] > 1:
+                gone[i : i + n] = True
+        out.append(gone)
+    return out
+
+
+def passages(n=90):
+    """One passage in many contexts, others in two or three, and copies."""
+    common, r = words(70, 600), random.Random(9)
+    some = [words(r.randrange(5, 120), 700 + k) + " " + common + " " + words(r.randrange(5, 60), 900 + k) for k in range(n)]
+    some += [words(60, 1200 + k) + " " + words(55 + k % 9, 1300 + k // 3) + ". " + words(40, 1400 + k) for k in range(n)]
+    return some + some[:3] + [words(47, 1), words(47, 1), words(48, 2), words(48, 2)]
+
+
+@pytest.mark.parametrize("bucket", [256, 2])
+def test_repeated_strings_go(spark, bucket, monkeypatch):
+    """Over the odd rows, and over passages dealt into many small batches; with buckets of two rows nearly all go by hashes."""
+    monkeypatch.setattr(suffix_dedup.repeated_spans, "__defaults__", ((suffix_dedup.BYTES,), bucket))
+    monkeypatch.setattr(suffix_dedup, "HOT_SHARE", 1 if bucket == 256 else 1000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        some = rows() + [(1000 + k, t, "en", "s", 1, 1, 2, 3, "x", 4) for k, t in enumerate(passages())]
+        got = collected(suffix_dedup.remove_digests(documents(spark, some).repartition(13)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    order = sorted(((r[0], r[1] or "") for r in some), key=lambda r: (r[0] is None, str(r[0])))
+    byte, word = brute_removal([t.encode() for _, t in order], 400), brute_words([t for _, t in order], 48)
+    assert sum(g.any() for g in word) > 150 and sum(g.any() for g in byte) > 80
+    for r, (doc_id, text), gone, covered in zip(got, order, byte, word):
+        raw = text.encode()
         runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         kept = hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()
         assert (r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (doc_id, len(raw), int(gone.sum()), runs, kept)
+        assert r.passage_words == covered.sum()
+
+
+def test_repeated_passages_of_words_go(spark):
+    some = rows() + [(1000 + k, t, "en", "s", 1, 1, 2, 3, "x", 4) for k, t in enumerate(passages())]
+    df = documents(spark, some)
+    out = suffix_dedup.remove_text(df, suffix_dedup.WORDS)
+    assert out.schema == df.schema
+    order = [r for r in some if r[0] is not None]
+    want = collections.Counter()
+    for r, gone in zip(some, brute_words([r[1] or "" for r in some], 48)):
+        w = re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")
+        want[r[0], tuple(x for x, g in zip(w, gone) if not g)] += 1
+    got = collections.Counter((r.doc_id, tuple(re.findall(r"[^\x20\x09-\x0D]+", r.text))) for r in out.collect())
+    assert got == want and len(order) < len(some)
+
+
+def test_words_don_t_depend_on_parts(monkeypatch):
+    raw = ("  " + words(3000, 1) + "\n" + "z" * 5000 + " end ").encode()
+    whole = suffix_dedup.word_edges(raw)
+    monkeypatch.setattr(suffix_dedup, "PART", 100)
+    assert all((a == b).all() for a, b in zip(whole, suffix_dedup.word_edges(raw)))
 
 
 def test_removal_keeps_columns_and_rows(spark):
@@ -222,6 +326,14 @@ def test_removal_keeps_columns_and_rows(spark):
 # licenses
 
 
+WRAPPED = [
+    "x\nRedistribution and use in source and binary forms, with or without\n * modification, are permitted provided that",
+    "This is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL version",
+    "Permission is hereby granted, free of charge,\nto any person obtaining a copy\nof this software and",
+    "redistribution and use in source\n\n\n\nand binary forms, with or without modification",
+]
+
+
 def test_licenses_equal_sql(spark):
     got = license_scan.scan(documents(spark)).toPandas()
     con = duckdb.connect()
@@ -234,6 +346,8 @@ def test_licenses_equal_sql(spark):
     assert canon(got) == canon(want)
     assert license_scan.scan(documents(spark, [])).count() == 0
     by_id = got.set_index("doc_id")
+    wrapped = license_scan.scan(documents(spark, [(k, t, "en", "s", 1, 1, 2, 3, "x", 4) for k, t in enumerate(WRAPPED)])).toPandas().set_index("doc_id").sort_index()
+    assert wrapped.labels.tolist() == ["bsd", "mpl-2.0", "mit", ""]
     assert by_id.loc[11, "labels"] == "apache-2.0,reserved" and by_id.loc[12, "n_base"] == 3 and by_id.loc[13, "first_word"] == 7
 
 
@@ -261,6 +375,54 @@ def test_toxicity_separates_held_out_rows(spark):
     assert kept.schema == docs.schema and set(kept.toPandas().doc_id) == set(got[got.predicted == 0].doc_id)
 
 
+def reference_ftrl(examples, epochs):
+    """FTRL-proximal, one coordinate at a time, as published: w from z and n, then n and z from the gradient."""
+    z, n, bias = collections.defaultdict(float), collections.defaultdict(float), 1 << toxicity.BITS
+
+    def weight(i):
+        l1 = 0.0 if i == bias else toxicity.L1
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - (l1 if z[i] > 0 else -l1)) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(epochs):
+        for features, y in examples:
+            w = {i: weight(i) for i in features}
+            p = 1 / (1 + np.exp(-max(-35.0, min(35.0, sum(w.values())))))
+            g = (p - y) * (toxicity.POSITIVE_WEIGHT if y else 1)
+            for i in features:
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in list(z) if weight(i)}
+
+
+def test_toxicity_training_and_scores_equal_plain_ftrl(spark):
+    """The query's scores against features by sets of words, pairs and skip-pairs, and FTRL by its definition."""
+    docs, labels = toxic_table(spark, 150)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    hashed = {r.doc_id: r.k for r in docs.selectExpr("doc_id", "xxhash64(text) AS k").collect()}
+    truth = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id is not None and r.toxic is not None}
+    names = {}
+
+    def features(t):
+        w = [toxicity.words(x.encode())[0] for x in re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower() if t.isascii() else "".join(c.lower() if c < "\x80" else c for c in t))]
+        for k in range(len(w)):
+            names[int(w[k]) >> (64 - toxicity.BITS)] = 1
+        near = [toxicity._mix(np.array([a]) * toxicity.PAIR + b)[0] for a, b in zip(w, w[1:])]
+        far = [toxicity._mix(np.array([a]) * toxicity.SKIP + b)[0] for a, b in zip(w, w[2:])]
+        return sorted({int(h) >> (64 - toxicity.BITS) for h in [*w, *near, *far]}) + [1 << toxicity.BITS]
+
+    with np.errstate(over="ignore"):
+        per = {d: features(t) for d, t in text.items()}
+    chosen = sorted((hashed[d], truth[d], d) for d in text if d in truth and zlib.crc32(str(d).encode()) % 3 != 1)
+    w = reference_ftrl([(per[d], y) for _, y, d in chosen], toxicity.EPOCHS)
+    got = {r.doc_id: r.score for r in toxicity.score_documents(docs, labels).collect()}
+    assert len(w) > 1
+    for d, f in per.items():
+        assert abs(got[d] - 1 / (1 + np.exp(-sum(w.get(i, 0.0) for i in f)))) < 1e-9
+
+
 def test_toxicity_odd_rows(spark):
     _, labels = toxic_table(spark, 40)
     got = toxicity.score_documents(documents(spark), labels).toPandas()
