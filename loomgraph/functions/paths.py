@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 PRUNED = (".git", ".hg", ".svn", ".codeindex", "node_modules", "dist", "build", "out", "target", "vendor", "coverage", "tmp", "venv", ".venv", "__pycache__")
 GENERATED_DIRS = ("generated", "__generated__", "codegen", "__codegen__", "generated-sources", "generated_sources", "openapi-generated", ".openapi-generator")
 GENERATED_NAMES = (
-    r"\.generated\.", r"_generated\.", r"_gen\.", r"\.pb\.", r"_pb2\.pyi?$", r"_sqlc\.go$", r"\.g\.[a-z0-9]+$", r"\.min\.[a-z0-9]+$", r"\.(bundle|chunk)\.[a-z0-9]+$", r"\.d\.[cm]?ts$",
+    r"\.generated\.", r"_generated\.", r"_gen\.", r"\.pb\.", r"_pb2\.py$", r"_sqlc\.go$", r"\.g\.[^.]+$", r"\.min\.[^.]+$", r"(?:^|[.-])(?:bundle|chunk)(?:[.-]|$)", r"\.d\.(?:ts|mts|cts)$",
 )
 LANGUAGES = {
-    "typescript": ".ts .mts .cts", "tsx": ".tsx", "javascript": ".js .mjs .cjs .jsx", "python": ".py .pyi", "go": ".go", "ruby": ".rb .rake", "java": ".java", "csharp": ".cs",
-    "scala": ".scala .sbt .sc", "php": ".php", "c": ".c", "cpp": ".cpp .cc .cxx .c++ .hpp .hh .hxx .h", "rust": ".rs", "kotlin": ".kt .kts",
+    "typescript": (".ts", ".mts", ".cts"), "tsx": (".tsx",), "javascript": (".js", ".mjs", ".cjs", ".jsx"), "python": (".py", ".pyi"), "go": (".go",), "ruby": (".rb", ".rake"), "java": (".java",), "csharp": (".cs",),
+    "scala": (".scala", ".sbt", ".sc"), "php": (".php",), "c": (".c",), "cpp": (".cpp", ".cc", ".cxx", ".c++", ".hpp", ".hh", ".hxx", ".h"), "rust": (".rs",), "kotlin": (".kt", ".kts"),
 }
 PRECEDENCE = {".js": (".ts", ".tsx"), ".mjs": (".mts", ".ts"), ".cjs": (".cts", ".ts"), ".jsx": (".tsx",)}
-BY_EXTENSION = {e: lang for lang, es in LANGUAGES.items() for e in es.split()}
+BY_EXTENSION = {e: lang for lang, es in LANGUAGES.items() for e in es}
 
 
 def extension(path: Column) -> Column:
@@ -72,6 +72,15 @@ def normalised(path: Column) -> Column:
     return F.array_join(fold, "/")
 
 
+def visit_key(path: Column) -> tuple[Column, Column]:
+    """The order in which a walk meets files: a directory's own files by name, then its directories from the last name to the
+    first, each with all it holds. First the directory: its segments' bytes inverted, so that they order from last to first."""
+    parts = F.split(path, "/")
+    dirs = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    inverted = F.transform(dirs, lambda s: F.concat(F.translate(F.hex(F.encode(s, "UTF-8")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G")))
+    return F.array_join(inverted, ""), basename(path)
+
+
 def subsequence(needle: str, text: Column) -> Column:
     """Whether the needle's characters stand in the text in order."""
     return text.rlike("(?s)" + ".*".join("\\Q" + c + "\\E" for c in needle if c != "\\") if needle else "")

@@ -1,8 +1,8 @@
-"""A symbol's surroundings in one table, and one-line renderings."""
+"""A symbol's surroundings in one table."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import CALL_ROLES, INHERITANCE_ROLES, Index
@@ -32,15 +32,3 @@ def explore(index: Index, name: str | None = None, moniker: str | None = None) -
 
 def _symbols(rows: DataFrame, section: str) -> DataFrame:
     return rows.select(F.lit(section).alias("section"), F.col("moniker").alias("label"), "path", "s_line", F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("long").alias("sites"))
-
-
-def occurrence_line(source: Column, path: Column, line: Column, confidence: Column, sites: Column) -> Column:
-    """name  path:line  (score) [xN], the count where it is over one."""
-    many = F.when(sites > 1, F.concat(F.lit(" x"), sites.cast("string"))).otherwise("")
-    return F.concat(source, F.lit("  "), path, F.lit(":"), line.cast("string"), F.format_string("  (%.2f)", confidence), many)
-
-
-def one_line(text: Column, most: int = 80) -> Column:
-    """White space runs as one space, clipped with an ellipsis."""
-    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most - 1), F.lit("…"))).otherwise(flat)

@@ -27,10 +27,48 @@ def affected_files(index: Index, names: DataFrame, changed: DataFrame) -> DataFr
 
 def inheritance_signature(refs: DataFrame) -> DataFrame:
     """(file_id, signature): each file's inheritance references, sorted, one a line; equal signatures mean equal multisets."""
-    line = F.concat_ws(" ", "role", "name", F.coalesce("receiver", F.lit("-")), F.coalesce("enclosing", F.lit("-")))
+    around = F.coalesce(F.col("enclosing") if "enclosing" in refs.columns else F.col("enclosing_id").cast("string"), F.lit("-"))
+    line = F.concat_ws(" ", "role", "name", F.coalesce("receiver", F.lit("-")), around)
     return refs.where(F.col("role").isin(*INHERITANCE_ROLES)).groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("signature"))
 
 
-def needs_full(dirty: bool, typed: bool, layout_changed: bool, inheritance_changed: bool, reexports_changed: bool) -> bool:
-    """Whether a change calls for resolving everything again."""
-    return dirty or typed or layout_changed or inheritance_changed or reexports_changed
+def declared_names(index: Index, files: DataFrame) -> DataFrame:
+    """(name) that the files (file_id) declare, export or re-export."""
+    s = index.symbols.join(files, "file_id", "left_semi")
+    i = index.imports.where(F.col("kind").isin("reexport", "reexport-star")).join(files, "file_id", "left_semi")
+    out = s.select("name").union(s.select("export_name")).union(i.select("local_name")).union(i.select("imported_name"))
+    return out.where("name IS NOT NULL").distinct()
+
+
+def dependents(index: Index, files: DataFrame) -> DataFrame:
+    """(file_id) of files with an edge into the files."""
+    inside = index.symbols.join(files, "file_id", "left_semi").select(F.col("id").alias("symbol_id"))
+    return index.occurrences.join(inside, "symbol_id", "left_semi").select("file_id").distinct()
+
+
+def resolution_facts(index: Index, files: DataFrame) -> DataFrame:
+    """The rows of the files that other files' references can depend on."""
+    s = index.symbols.join(files, "file_id", "left_semi").select(F.concat_ws("|", "id", "moniker", "name", "kind", "exported", "export_name", "owner_type", "is_static", "is_abstract", "param_count", "variadic").alias("fact"))
+    i = index.imports.where(F.col("kind").isin("reexport", "reexport-star")).join(files, "file_id", "left_semi").select(F.concat_ws("|", "file_id", "source", "kind", "imported_name", "local_name").alias("fact"))
+    p = index.files.join(files.withColumnRenamed("file_id", "id"), "id", "left_semi").select(F.concat_ws("|", "id", "path").alias("fact"))
+    return s.union(i).union(p)
+
+
+def differ(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables of one shape hold different rows, repeats included."""
+    return not (a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty())
+
+
+def scope(before: Index, after: Index, moved: DataFrame) -> DataFrame | None:
+    """(file_id) of the files whose references a change of the files ``moved`` can touch, or None where that may be any file: when
+    what inherits from what has changed, or a name that is re-exported came or went."""
+    if differ(*(inheritance_signature(x.refs.join(moved, "file_id", "left_semi")) for x in (before, after))):
+        return None
+    names = [declared_names(x, moved) for x in (before, after)]
+    passed = before.imports.union(after.imports.select(before.imports.columns)).where("kind IN ('reexport', 'reexport-star')").select(F.col("imported_name").alias("name"))
+    turned = names[0].exceptAll(names[1]).union(names[1].exceptAll(names[0]))
+    if not turned.join(passed, "name", "left_semi").isEmpty() or not turned.isEmpty() and not passed.where("name IS NULL").isEmpty():
+        return None
+    if not differ(*(resolution_facts(x, moved) for x in (before, after))):
+        return affected_files(after, names[0].limit(0), moved)
+    return affected_files(after, names[0].union(names[1]).distinct(), moved.union(dependents(before, moved)))

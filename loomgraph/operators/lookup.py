@@ -106,3 +106,13 @@ def top_definitions(index: Index, k: int = 3) -> DataFrame:
     """The first k definitions of every name, in the order of ``definitions``."""
     w = Window.partitionBy("name").orderBy(F.desc("exported"), "path", "s_line", "s_col", "id")
     return with_path(index, index.symbols).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def exported_of(index: Index, files: DataFrame) -> DataFrame:
+    """Exported symbols of files (file_id)."""
+    return with_path(index, index.symbols.where("exported").join(files, "file_id", "left_semi"))
+
+
+def file_meta(index: Index, wanted: DataFrame) -> DataFrame:
+    """The index's files with one of the paths (path)."""
+    return index.files.join(wanted, "path", "left_semi")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,10 +17,6 @@ from .graph import reach
 MODULE_EXTENSIONS = (".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mts", ".cts", ".mjs")
 
 
-def compatible(a: Column, b: Column) -> Column:
-    return paths.family(a) == paths.family(b)
-
-
 def distance_confidence(d: Column) -> Column:
     return F.greatest(F.lit(0.5), 0.85 - 0.1 * (d - 1))
 
@@ -77,12 +75,12 @@ def same_file(refs: DataFrame, index: Index) -> DataFrame:
     return bare.select(*pick).union(member.select(*pick))
 
 
-def scope_ancestors(scopes: DataFrame, depth: int = 64) -> DataFrame:
-    """(file_id, idx, ancestor, distance): each scope's chain of parents, itself first. Files nest ``depth`` deep at most."""
-    parent = scopes.where("parent_idx IS NOT NULL").select("file_id", F.col("idx").alias("ancestor"), F.col("parent_idx").alias("up"))
+def scope_ancestors(scopes: DataFrame) -> DataFrame:
+    """(file_id, idx, ancestor, distance): each scope's chain of parents, itself first. A parent's number is less than its own."""
+    parent = scopes.where("parent_idx < idx").select("file_id", F.col("idx").alias("ancestor"), F.col("parent_idx").alias("up"))
     front = scopes.select("file_id", "idx", F.col("idx").alias("ancestor"), F.lit(0).alias("distance"))
     out = front
-    for d in range(1, depth + 1):
+    for d in itertools.count(1):
         front = cut(front.join(parent, ["file_id", "ancestor"]).select("file_id", "idx", F.col("up").alias("ancestor"), F.lit(d).alias("distance")))
         if front.isEmpty():
             break
@@ -176,34 +174,13 @@ def bind_python(refs: DataFrame, index: Index) -> DataFrame:
     return uses.join(target, "ref_id").join(s, ["file_id", "wanted"]).select("ref_id", "symbol_id", F.lit("import").alias("resolution"), F.lit(0.9).alias("base"))
 
 
-def reexports(imports: DataFrame, module: DataFrame, depth: int = 32) -> DataFrame:
-    """(file_id, name, to_file, to_name): where an exported name may come from, through re-exports, nearest first by ``distance``.
-
-    imports: re-export rows; module: (id, file_id) of their target files. A (file, name) is visited once per start.
-    """
-    step = imports.join(module.withColumnRenamed("file_id", "to_file"), "id")
-    named = step.where("kind = 'reexport'").select("file_id", F.col("local_name").alias("name"), "to_file", F.col("imported_name").alias("to_name"))
-    star = step.where("kind = 'reexport-star'").select("file_id", "to_file").distinct()
-    front = named.withColumn("distance", F.lit(1)).dropDuplicates(["file_id", "name", "to_file", "to_name"])
-    out = front
-    for d in range(2, depth + 1):
-        via = named.select(F.col("file_id").alias("to_file"), F.col("name").alias("to_name"), F.col("to_file").alias("f"), F.col("to_name").alias("n"))
-        a = front.join(via, ["to_file", "to_name"]).select("file_id", "name", F.col("f").alias("to_file"), F.col("n").alias("to_name"))
-        b = front.join(star.select(F.col("file_id").alias("to_file"), F.col("to_file").alias("f")), "to_file").select("file_id", "name", F.col("f").alias("to_file"), "to_name")
-        front = cut(a.union(b).distinct().join(out, ["file_id", "name", "to_file", "to_name"], "left_anti").withColumn("distance", F.lit(d)))
-        if front.isEmpty():
-            break
-        out = out.union(front)
-    return out
-
-
-def inherited_members(refs: DataFrame, index: Index, bases: DataFrame, depth: int = 16) -> DataFrame:
+def inherited_members(refs: DataFrame, index: Index, bases: DataFrame) -> DataFrame:
     """(ref_id, symbol_id, confidence): members that this/self references find up the supertype chain, nearest level only.
 
     refs: with ``owner_id``, the class symbol of the reference. bases: (sub, base) symbol ids. Declarations without a body give way to
     bodies and score at most 0.5 alone; several share the score.
     """
-    up = reach(bases, refs.select(F.col("owner_id").alias("seed")).distinct(), depth, "sub", "base").where("distance > 0")
+    up = reach(bases, refs.select(F.col("owner_id").alias("seed")).distinct(), None, "sub", "base").where("distance > 0")
     base = index.symbols.select(F.col("id").alias("node"), F.col("file_id").alias("f"), F.col("name").alias("owner"), F.col("kind").alias("base_kind"))
     member = index.symbols.select(F.col("file_id").alias("f"), F.col("owner_type").alias("owner"), "name", F.col("id").alias("symbol_id"), "is_abstract", "is_static")
     found = refs.select(F.col("id").alias("ref_id"), "owner_id", "name").join(up, F.col("owner_id") == F.col("seed")).join(base, "node").join(member, ["f", "owner", "name"])
@@ -238,11 +215,7 @@ def owner_class(index: Index) -> DataFrame:
     return s.select("file_id", F.col("name").alias("owner_type"), F.col("id").alias("owner_id"))
 
 
-def is_inheritance(role: Column) -> Column:
-    return role.isin(*INHERITANCE_ROLES)
-
-
-def follow_exports(uses: DataFrame, index: Index, module: DataFrame, depth: int = 32) -> DataFrame:
+def follow_exports(uses: DataFrame, index: Index, module: DataFrame) -> DataFrame:
     """(use_id, symbol_id): what a name exported by a file is, re-exports followed until a file has it, each (file, name) once a use.
 
     uses: (use_id, file_id, name). module: (id, file_id), the target file of each import.
@@ -254,7 +227,7 @@ def follow_exports(uses: DataFrame, index: Index, module: DataFrame, depth: int
     named = step.where("kind = 'reexport'").select("file_id", F.col("local_name").alias("name"), "to_file", F.col("imported_name").alias("to_name")).distinct()
     star = step.where("kind = 'reexport-star'").select("file_id", "to_file").distinct()
     front, seen, out = uses.select("use_id", "file_id", "name").distinct(), None, None
-    for _ in range(depth):
+    while True:
         front = cut(front if seen is None else front.join(seen, ["use_id", "file_id", "name"], "left_anti"))
         if front.isEmpty():
             break

@@ -49,7 +49,10 @@ def proxy(spark: SparkSession, sf_dir: str) -> Index:
         (o % 1000).cast("int").alias("s_line"), (o % 7).cast("int").alias("s_col"), (o % 1000).cast("int").alias("e_line"), (o % 7 + 3).cast("int").alias("e_col"),
         F.when(o % 3 == 2, "this").alias("receiver"), F.lit(None).cast("string").alias("enclosing"), (o % 5).cast("int").alias("arg_count"), (o * 3 % n_parts).alias("enclosing_id"),
     )
-    imports = lineitem.where("l_quantity = 50 AND l_linenumber = 3").select(F.col("l_suppkey").alias("file_id"), (F.col("l_partkey") % n_files).alias("to_file"), (F.col("l_orderkey") % 7 == 0).alias("odd")).distinct()
+    # within each ten files, each imports the one seven places on times itself; and each the same one of the ten before
+    k = F.col("id")
+    to = F.array(k - k % 10 + k * 7 % 10, F.greatest(k - 10, k % 10))
+    imports = files.select(F.col("id").alias("file_id"), F.explode(to).alias("to_file")).where(F.col("to_file") < n_files).distinct()
     tree = files.select(F.col("id").alias("file_id"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("idx"))
     depth = F.floor(F.log2(F.col("idx") + 1) + 1e-9).cast("int")
     width = F.lit(1024) / F.pow(F.lit(2), depth)
@@ -78,7 +81,7 @@ occ AS (SELECT l_orderkey * 100000000 + CAST(round(l_extendedprice * 100) AS BIG
 refs AS (SELECT o_orderkey AS id, o_custkey % (SELECT n FROM nf) AS file_id, s.name AS name, CASE WHEN o_orderkey % 4 = 0 THEN 'extends' ELSE 'call' END AS role, CAST(o_orderkey % 1000 AS INT) AS s_line,
   CAST(o_orderkey % 7 AS INT) AS s_col, CASE WHEN o_orderkey % 3 = 2 THEN 'this' END AS receiver, CAST(o_orderkey % 5 AS INT) AS arg_count, o_orderkey * 3 % (SELECT n FROM np) AS enclosing_id
   FROM orders JOIN symbols s ON s.id = o_orderkey * 13 % (SELECT n FROM np)),
-imports AS (SELECT DISTINCT l_suppkey AS file_id, l_partkey % (SELECT n FROM nf) AS to_file, l_orderkey % 7 = 0 AS odd FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 3),
+imports AS (SELECT DISTINCT id AS file_id, to_file FROM (SELECT id, unnest([id - id % 10 + id * 7 % 10, greatest(id - 10, id % 10)]) AS to_file FROM files) WHERE to_file < (SELECT n FROM nf)),
 sc0 AS (SELECT f.id AS file_id, CAST(i AS INT) AS idx, CAST(floor(log2(i + 1) + 1e-9) AS INT) AS d FROM files f, range(8) t(i)),
 scopes AS (SELECT file_id, idx, CASE WHEN idx > 0 THEN (idx - 1) // 2 END AS parent_idx, CAST((idx + 1 - pow(2, d)) * (1024 / pow(2, d)) AS INT) AS s_line, CAST((idx + 2 - pow(2, d)) * (1024 / pow(2, d)) - 1 AS INT) AS e_line FROM sc0),
 scope_defs AS (SELECT id, file_id, CAST(id % 8 AS INT) AS scope_idx, name, CASE WHEN id % 4 <> 0 THEN moniker END AS symbol_moniker FROM symbols),

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import ident, paths
-from .operators import evaluate, facts, graph, incremental, lookup, resolve, search
+from .operators import evaluate, explore, facts, graph, incremental, lookup, render, resolve, search
+from .plans import build
 from .plans.proxy import PREFIX, proxy
 from .schemas import CALL_ROLES, Index
+from .sources import scip, tree
 
 NAME, SEED_NAME = "cold_anvil_5", "hot_gear_1"
 
@@ -115,9 +119,14 @@ def fanout_risk(x: Index) -> DataFrame:
     return lookup.fanout_risk(x)
 
 
-@query(f""", {_PER_NAME} SELECT name, CASE WHEN definitions = 0 THEN 'no-symbol' WHEN definitions > 8 AND bound = 0 AND sites > 0 THEN 'suppressed' ELSE 'no-edges' END AS reason, definitions, sites FROM p WHERE bound = 0""")
+@query("""SELECT name, CASE WHEN definitions = 0 THEN 'no-symbol' WHEN definitions > 8 AND sites > 0 THEN 'suppressed' ELSE 'no-edges' END AS reason, definitions, sites FROM
+(SELECT name, coalesce(definitions, 0) AS definitions, coalesce(sites, 0) AS sites FROM (SELECT name, count(*) AS definitions FROM symbols GROUP BY name)
+FULL JOIN (SELECT CASE WHEN receiver = 'this' THEN name || '_own' ELSE name END AS name, count(*) AS sites FROM refs GROUP BY 1) USING (name))
+WHERE name NOT IN (SELECT target FROM edges WHERE role = 'implements')""")
 def diagnose_empty(x: Index) -> DataFrame:
-    return lookup.diagnose_empty(x)
+    """Where only implements edges were stored, and members are asked for by names that nothing declares."""
+    refs = x.refs.withColumn("name", F.when(F.col("receiver") == "this", F.concat("name", F.lit("_own"))).otherwise(F.col("name")))
+    return lookup.diagnose_empty(Index(x.files, x.symbols, x.occurrences.where("role = 'implements'"), refs))
 
 
 @query("SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM occ) AS occurrences")
@@ -131,9 +140,14 @@ def impact_groups(x: Index) -> DataFrame:
     return graph.impact_groups(x)
 
 
-@query(f"""SELECT CAST(1 AS INT) AS depth, source, enclosing_id FROM edges WHERE target = '{SEED_NAME}' AND role IN ('call', 'reference') AND confidence >= 0.1 GROUP BY source, enclosing_id""")
+@query(f"""SELECT CAST(1 AS INT) AS depth, target, source, enclosing_id, sites, confidence, path, s_line, s_col FROM (SELECT *, row_number() OVER (PARTITION BY enclosing_id ORDER BY symbol_id, rn) AS again FROM
+(SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY confidence DESC, path, s_line, s_col, enclosing_id) AS rn FROM
+(SELECT symbol_id, target, source, enclosing_id, count(*) AS sites, max(confidence) AS confidence, arg_min(path, k) AS path, arg_min(s_line, k) AS s_line, arg_min(s_col, k) AS s_col
+FROM (SELECT *, struct_pack(a := -confidence, b := path, c := s_line, d := s_col, e := id) AS k FROM edges WHERE target = '{SEED_NAME}' AND role IN ('call', 'reference') AND confidence >= 0.1)
+GROUP BY symbol_id, target, source, enclosing_id))) WHERE again = 1""")
 def impact_direct(x: Index) -> DataFrame:
-    return graph.impact(x, SEED_NAME, depth=1, limit=500).select("depth", "source", "enclosing_id")
+    """Deeper levels are held against brute force in the tests."""
+    return graph.impact(x, SEED_NAME, depth=1, limit=500).drop("provenance")
 
 
 @query("""SELECT DISTINCT enclosing_id AS sub, symbol_id AS base FROM occ WHERE role IN ('extends', 'implements') AND enclosing_id IS NOT NULL""")
@@ -148,12 +162,19 @@ def supertype_chain(x: Index) -> DataFrame:
     return graph.supertype_chain(x, x.symbols.where(F.col("name") == NAME).select(F.col("id").alias("seed")), 4)
 
 
+@query(""", r AS (SELECT id AS seed, id AS node, 0 AS distance FROM symbols UNION ALL SELECT seed, node // 2, distance + 1 FROM r WHERE node > 0) SELECT seed, node, CAST(distance AS INT) AS distance FROM r""")
+def supertype_chain_to_the_top(x: Index) -> DataFrame:
+    """Symbol n inherits from n // 2; no depth is set."""
+    h = x.symbols.where("id > 0").select(F.col("id").alias("enclosing_id"), F.expr("id div 2").alias("symbol_id"), F.lit("extends").alias("role"))
+    return graph.supertype_chain(Index(x.files, x.symbols, h), x.symbols.select(F.col("id").alias("seed")))
+
+
 @query(""", e AS (SELECT DISTINCT file_id AS a, to_file AS b FROM imports), r AS (SELECT a AS s, b AS t FROM e UNION SELECT r.s, e.b FROM r JOIN e ON e.a = r.t),
 c AS (SELECT x.s AS node, min(x.t) AS least FROM r x JOIN r y ON x.s = y.t AND x.t = y.s GROUP BY x.s)
-SELECT CAST(count(*) AS INT) AS size, list(path ORDER BY path)[1] AS first_file FROM c JOIN files f ON f.id = c.node GROUP BY least""")
+SELECT CAST(count(*) AS INT) AS size, string_agg(path, ' ' ORDER BY path) AS files FROM c JOIN files f ON f.id = c.node GROUP BY least""")
 def cycles(x: Index) -> DataFrame:
     c = graph.strong_components(x.imports.select(F.col("file_id").alias("a"), F.col("to_file").alias("b")).distinct())
-    return graph.cycles(c, x.files.select(F.col("id").alias("node"), "path")).select("size", F.element_at("files", 1).alias("first_file"))
+    return graph.cycles(c, x.files.select(F.col("id").alias("node"), "path")).select("size", F.array_join("files", " ").alias("files"))
 
 
 @query("SELECT s.id, name, path FROM symbols s JOIN files f ON f.id = s.file_id WHERE lower(name) LIKE '%c%v%5%'")
@@ -166,12 +187,6 @@ def search_rerank(x: Index) -> DataFrame:
     return x.symbols.select("id", "name", search.tier("cold_anvil", F.col("name")).alias("tier"))
 
 
-@query("""SELECT s.id, name FROM symbols s JOIN files f ON f.id = s.file_id WHERE regexp_matches(name, '(^|_)anv') OR regexp_matches(kind, '(^|[^a-z0-9])anv') OR regexp_matches(name, '(^|_)cold_an')
-OR regexp_matches(kind, '(^|[^a-z0-9])econ') OR regexp_matches(name, '(^|_)econ')""")
-def search_prefix(x: Index) -> DataFrame:
-    return search.bm25(x, "anv cold_an econ").select("id", "name")
-
-
 @query("""SELECT ref_id, symbol_id, resolution, CASE WHEN n = 1 AND base >= 0.9 THEN base ELSE base / CASE WHEN p > 0 THEN p ELSE n END END AS confidence
 FROM (SELECT *, count(*) OVER (PARTITION BY ref_id) AS n, sum(CASE WHEN resolution = 'name' THEN 0 ELSE 1 END) OVER (PARTITION BY ref_id) AS p FROM
 (SELECT r.id AS ref_id, s.id AS symbol_id, CASE WHEN s.id % 6 = 0 THEN 'import' ELSE 'name' END AS resolution, CASE WHEN s.id % 6 = 0 THEN 0.9 ELSE 0.5 END::DOUBLE AS base FROM refs r JOIN symbols s USING (name)))
@@ -247,24 +262,25 @@ def import_candidates(x: Index) -> DataFrame:
     return resolve.first_existing(resolve.module_candidates(i), x.files).select(F.col("id").alias("file_id"), F.col("file_id").alias("to_file"))
 
 
-@query(""", h AS (SELECT DISTINCT o.enclosing_id AS sub, o.symbol_id AS base FROM occ o WHERE o.role = 'implements' AND o.enclosing_id % 3 = 0),
-up AS (SELECT DISTINCT enclosing_id AS seed, enclosing_id AS node, 0 AS distance FROM refs WHERE receiver = 'this' UNION SELECT seed, base, distance + 1 FROM up JOIN h ON h.sub = up.node WHERE distance < 2),
-near AS (SELECT seed, node, min(distance) AS distance FROM up GROUP BY seed, node),
-f AS (SELECT q.id AS ref_id, m.id AS symbol_id, n.distance, m.is_abstract AS bare, sum(CASE WHEN m.is_abstract THEN 0 ELSE 1 END) OVER (PARTITION BY q.id) AS solid FROM refs q JOIN near n ON n.seed = q.enclosing_id AND n.distance > 0
-JOIN symbols b ON b.id = n.node JOIN symbols m ON m.file_id = b.file_id AND m.owner_type = b.owner_type AND m.kind = b.kind WHERE q.receiver = 'this' AND NOT m.is_static),
+@query(""", h AS (SELECT id AS sub, id // 2 AS base FROM symbols WHERE id > 0),
+up AS (SELECT DISTINCT enclosing_id AS seed, enclosing_id AS node, 0 AS distance FROM refs WHERE receiver = 'this' UNION SELECT seed, base, distance + 1 FROM up JOIN h ON h.sub = up.node),
+asked AS (SELECT DISTINCT q.id, q.enclosing_id, b.file_id AS f, b.owner_type AS o, b.kind AS k FROM refs q JOIN up n ON n.seed = q.enclosing_id AND n.distance > 0 JOIN symbols b ON b.id = n.node WHERE q.receiver = 'this'),
+f AS (SELECT q.id AS ref_id, m.id AS symbol_id, n.distance, m.is_abstract AS bare, sum(CASE WHEN m.is_abstract THEN 0 ELSE 1 END) OVER (PARTITION BY q.id) AS solid FROM (SELECT DISTINCT id, enclosing_id, o, k FROM asked) q
+JOIN up n ON n.seed = q.enclosing_id AND n.distance > 0 JOIN symbols b ON b.id = n.node AND b.owner_type = q.o AND b.kind = q.k
+JOIN symbols m ON m.file_id = b.file_id AND m.owner_type = b.owner_type AND m.kind = b.kind WHERE NOT m.is_static),
 g AS (SELECT *, min(distance) OVER (PARTITION BY ref_id) AS nearest FROM f WHERE solid = 0 OR NOT bare),
 d AS (SELECT DISTINCT ref_id, symbol_id, distance, solid FROM g WHERE distance = nearest)
 SELECT ref_id, symbol_id, round(CASE WHEN solid = 0 THEN least(greatest(0.5, 0.85 - 0.1 * (distance - 1)), 0.5) ELSE greatest(0.5, 0.85 - 0.1 * (distance - 1)) END / count(*) OVER (PARTITION BY ref_id), 9)::DOUBLE AS confidence FROM d""")
 def inherited_member(x: Index) -> DataFrame:
-    """Owners are named by brand and members by kind, as in the proxy no member shares its class's file, owner and name."""
-    h = x.occurrences.where("role = 'implements' AND enclosing_id % 3 = 0").select(F.col("enclosing_id").alias("sub"), F.col("symbol_id").alias("base"))
+    """Symbol n inherits from n // 2, up to 0. Owners are named by brand and members by kind, as in the proxy no member shares its
+    class's file, owner and name; a reference asks for the members that its bases' own owner and kind name."""
+    h = x.symbols.where("id > 0").select(F.col("id").alias("sub"), F.expr("id div 2").alias("base"))
     owner = F.concat_ws("|", "owner_type", "kind")
     s = x.symbols.select("id", "file_id", owner.alias("name"), F.lit("class").alias("kind"), owner.alias("owner_type"), "is_abstract", "is_static")
     r = x.refs.where("receiver = 'this'").select("id", F.col("enclosing_id").alias("owner_id"))
-    # a reference asks for the members that its base's own owner and kind name
-    up = graph.reach(h, r.select(F.col("owner_id").alias("seed")).distinct(), 2, "sub", "base").where("distance > 0")
+    up = graph.reach(h, r.select(F.col("owner_id").alias("seed")).distinct(), None, "sub", "base").where("distance > 0")
     asked = r.join(up, F.col("owner_id") == F.col("seed")).join(s.select(F.col("id").alias("node"), "name"), "node").select("id", "owner_id", "name").distinct()
-    return resolve.inherited_members(asked, Index(x.files, s, x.occurrences), h, 2).withColumn("confidence", F.round("confidence", 9))
+    return resolve.inherited_members(asked, Index(x.files, s, x.occurrences), h).withColumn("confidence", F.round("confidence", 9))
 
 
 @query("""SELECT id, role, provenance, symbol_id, s_col FROM occ o WHERE provenance = 'typed' OR role NOT IN ('call', 'reference')
@@ -322,15 +338,39 @@ def pruned_filter(x: Index) -> DataFrame:
     return x.files.select("path", paths.is_pruned(moved).alias("pruned"), paths.language(F.col("path")).alias("lang"))
 
 
+#: File names, and whether they are a generator's; the patterns one by one, then names that only look like them.
+NAMES = [
+    ("a.generated.ts", True), ("A.GENERATED.cs", True), ("x_generated.go", True), ("x_gen.rs", True), ("m.pb.go", True), ("m_pb2.py", True), ("q_sqlc.go", True), ("w.g.dart", True), ("a.g.x-y", True), ("jquery.min.js", True), ("bundle.js", True),
+    ("app-bundle.js", True), ("main.chunk", True), ("main-chunk.abc.js", True), ("types.d.ts", True), ("t.d.mts", True), ("t.D.CTS", True), ("generated.ts", False), ("m_pb2.pyi", False), ("bundler.js", False), ("chunky.ts", False),
+    ("regen.py", False), ("x_gen", False), ("t.d.js", False), ("admin.js", False), ("a.gx.ts", False),
+]
+
+
+@query(f"SELECT n.name AS name, n.generated AS generated, path FROM files, (VALUES {', '.join(f'({k}, {name!r}, {is_one})' for k, (name, is_one) in enumerate(NAMES))}) n(k, name, generated) WHERE id % {len(NAMES)} = k")
+def generated_names(x: Index) -> DataFrame:
+    """Each file under one of the names, in its own directory."""
+    name = F.element_at(F.array(*[F.lit(n) for n, _ in NAMES]), (F.col("id") % len(NAMES) + 1).cast("int"))
+    moved = F.concat(paths.dirname(F.col("path")), F.lit("/"), name)
+    return x.files.select(name.alias("name"), paths.is_generated_path(moved).alias("generated"), "path")
+
+
 @query("SELECT path, id % 3 <> 2 AS generated FROM files")
 def generated_filter(x: Index) -> DataFrame:
-    name = F.when(F.col("id") % 3 == 0, F.regexp_replace("path", r"\.", ".generated.")).when(F.col("id") % 3 == 1, F.concat(F.lit("CodeGen/"), F.col("path"))).otherwise(F.col("path"))
-    return x.files.select("path", paths.is_generated_path(name).alias("generated"))
+    """Files under a generator's directory, in either case, and under one that only begins like it."""
+    moved = F.when(F.col("id") % 3 == 0, F.concat(F.lit("a/__generated__/"), "path")).when(F.col("id") % 3 == 1, F.concat(F.lit("CodeGen/"), "path")).otherwise(F.concat(F.lit("codegenerator/"), "path"))
+    return x.files.select("path", paths.is_generated_path(moved).alias("generated"))
 
 
-@query("SELECT id, moniker FROM symbols")
+@query("""SELECT s.id, f.path || '#' || CASE WHEN s.id % 3 = 0 THEN '' WHEN s.id % 3 = 1 THEN owner || '#' ELSE '`' || replace(s.owner_type, '`', '``') || '`#' END || CASE WHEN s.id % 5 = 0 THEN '`' || name || ' ``x```' ELSE name END ||
+CASE s.id % 4 WHEN 0 THEN '#' WHEN 1 THEN '().' WHEN 2 THEN '/' ELSE '.' END || '@' || CAST(s_line AS VARCHAR) || ':' || CAST(s_col AS VARCHAR) AS moniker FROM (SELECT *, replace(owner_type, '#', '_') AS owner FROM symbols) s JOIN files f ON f.id = s.file_id""")
 def moniker_build(x: Index) -> DataFrame:
-    return x.symbols.select("id", "moniker")
+    """Bare, quoted and absent owners, names with marks in them, and all four kinds of descriptor."""
+    at = lambda n, *values: F.element_at(F.array(*values), (F.col("id") % n + 1).cast("int"))
+    owner = at(3, F.lit(""), F.replace("owner_type", F.lit("#"), F.lit("_")), F.col("owner_type"))
+    name = F.when(F.col("id") % 5 == 0, F.concat("name", F.lit(" `x`"))).otherwise(F.col("name"))
+    kind = at(4, F.lit("interface"), F.lit("method"), F.lit("namespace"), F.lit("constant"))
+    rows = lookup.with_path(x, x.symbols)
+    return rows.select("id", ident.moniker(F.col("path"), owner, name, kind, F.col("s_line"), F.col("s_col")).alias("moniker"))
 
 
 @query("SELECT s.id, 'codegraph . my  repo . `' || path || '`/`' || owner_type || '`#' || name || '.' AS symbol FROM symbols s JOIN files f ON f.id = s.file_id")
@@ -367,9 +407,269 @@ def go_package_dirs(x: Index) -> DataFrame:
     return resolve.package_dirs(i, x.files).select(F.col("id").alias("file_id"), "dir")
 
 
-@query("SELECT path FROM files ORDER BY path LIMIT 50")
+_LISTING = """l AS (SELECT path, id * 7919 % 600000 AS size FROM files UNION ALL SELECT regexp_replace(path, '[.]ts$', '.js'), 100 FROM files WHERE ends_with(path, '.ts')
+UNION ALL SELECT regexp_replace(path, '^src/', 'src/vendor/'), 100 FROM files UNION ALL SELECT regexp_replace(path, '^src/n', 'lib/Generated/n'), 100 FROM files UNION ALL SELECT path || '.txt', 100 FROM files),
+k AS (SELECT path, size, string_split(path, '/') AS p FROM l WHERE size <= 524288 AND NOT contains(path, '/vendor/') AND NOT contains(path, '/Generated/') AND NOT ends_with(path, '.txt') AND NOT ends_with(path, '.js'))"""
+
+
+def _listing(x: Index) -> DataFrame:
+    """The files with sizes, a script beside each TypeScript file, and files that aren't indexed."""
+    f = x.files.select("path", (F.col("id") * 7919 % 600_000).alias("size"))
+    more = [F.regexp_replace("path", "^src/", "src/vendor/"), F.regexp_replace("path", "^src/n", "lib/Generated/n"), F.concat("path", F.lit(".txt"))]
+    scripts = f.where(F.endswith("path", F.lit(".ts"))).select(F.regexp_replace("path", "[.]ts$", ".js").alias("path"), F.lit(100).cast("long").alias("size"))
+    for path in more:
+        scripts = scripts.union(f.select(path, F.lit(100).cast("long")))
+    return f.union(scripts)
+
+
+@query(f""", {_LISTING} SELECT path, size FROM k ORDER BY array_to_string(list_transform(p[1:len(p) - 1], lambda s: translate(hex(s), '0123456789ABCDEF', 'FEDCBA9876543210') || 'G'), ''), p[len(p)] LIMIT 25""")
 def file_cap(x: Index) -> DataFrame:
-    return x.files.select("path").orderBy("path").limit(50)
+    """What a listing keeps, to the 25th file of the walk: by path, size and preferred siblings."""
+    return tree.choose(_listing(x), cap=25).select("path", "size")
+
+
+@query(f", {_LISTING} SELECT path, size FROM k")
+def indexable_files(x: Index) -> DataFrame:
+    return tree.indexable(_listing(x)).select("path", "size")
+
+
+@query("""SELECT path, CAST(row_number() OVER (ORDER BY array_to_string(list_transform(p[1:len(p) - 1], lambda s: translate(hex(s), '0123456789ABCDEF', 'FEDCBA9876543210') || 'G'), ''), p[len(p)]) AS INT) AS place
+FROM (SELECT path, string_split(path, '/') AS p FROM files)""")
+def walk_order(x: Index) -> DataFrame:
+    return x.files.select("path", F.row_number().over(Window.orderBy(*paths.visit_key(F.col("path")))).alias("place"))
+
+
+@query("SELECT path, id % 6 IN (0, 2, 3) AS generated FROM files")
+def generated_banner(x: Index) -> DataFrame:
+    """Banners in line and block comments; prose, code before the banner and a #! line aren't."""
+    heads = ["# Code generated by x; DO NOT EDIT.\n", "# about generated code\n", "\n// automatically GENERATED\n", "/* x\n * @generated\n */\n", "x = 1\n# do not edit\n", "#!/bin/do not edit\n"]
+    head = F.element_at(F.array(*[F.lit(h) for h in heads]), (F.col("id") % len(heads) + 1).cast("int"))
+    kept = tree.not_generated(x.files.select("path", F.concat(head, F.lit("def f(): pass\n")).alias("content"))).select("path", F.lit(True).alias("kept"))
+    return x.files.select("path").join(kept, "path", "left").select("path", F.col("kept").isNull().alias("generated"))
+
+
+@query("SELECT path, id % 10 IN (0, 1) AS safe FROM files")
+def path_safety(x: Index) -> DataFrame:
+    made = [F.col("path"), F.concat("path", F.lit("..x")), F.concat(F.lit("/"), "path"), F.concat(F.lit("C:/"), "path"), F.concat("path", F.lit("/../x")), F.concat(F.lit("./"), "path"), F.concat(F.lit("a//"), "path"), F.concat("path", F.lit("\\x")), F.lit(""), F.concat("path", F.lit("\0"))]
+    return x.files.select("path", paths.is_safe(F.element_at(F.array(*made), (F.col("id") % 10 + 1).cast("int"))).alias("safe"))
+
+
+@query("SELECT path, sha256(path || chr(10) || 'é😀') AS hash FROM files")
+def content_hash(x: Index) -> DataFrame:
+    from .plans.build import prepared
+
+    return prepared(x.files.select("path", F.concat("path", F.lit("\né😀")).alias("content"))).select("path", "hash")
+
+
+@query("SELECT s.id, s.name, path FROM symbols s JOIN files f ON f.id = s.file_id WHERE exported AND path LIKE 'src/n1%'")
+def exported_of_files(x: Index) -> DataFrame:
+    return lookup.exported_of(x, x.files.where(F.startswith("path", F.lit("src/n1"))).select(F.col("id").alias("file_id"))).select("id", "name", "path")
+
+
+@query("SELECT id, path, lang FROM files WHERE path IN (SELECT 'src/n' || CAST(s_nationkey AS VARCHAR) || '/s' || CAST(s_suppkey AS VARCHAR) || '.py' FROM supplier)")
+def file_meta(x: Index) -> DataFrame:
+    wanted = x.files.select(F.regexp_replace("path", r"\.[a-z]+$", ".py").alias("path"))
+    return lookup.file_meta(x, wanted).select("id", "path", "lang")
+
+
+@query("""SELECT s.id, CASE WHEN s.id % 3 = 0 THEN 'private ' ELSE '' END || CASE WHEN is_static THEN 'static ' ELSE '' END || CASE WHEN is_abstract THEN 'abstract ' ELSE '' END || kind || ' ' || owner_type || '.' || name || '  ' || path || ':' || CAST(s_line AS VARCHAR)
+|| CASE WHEN exported THEN '  (exported)' ELSE '' END || '  [id: ' || moniker || ']' AS line FROM symbols s JOIN files f ON f.id = s.file_id""")
+def symbol_lines(x: Index) -> DataFrame:
+    rows = lookup.with_path(x, x.symbols).withColumn("visibility", F.when(F.col("id") % 3 == 0, "private"))
+    return rows.select("id", render.symbol_line().alias("line"))
+
+
+@query("""SELECT id, CASE s_col WHEN 1 THEN 'direct ' WHEN 2 THEN '' ELSE 'transitive (depth ' || CAST(s_col AS VARCHAR) || ') ' END || source || ' → ' || target || '  ' || path || ':' || CAST(s_line AS VARCHAR) || '  [' || provenance || ', ' || printf('%.2f', confidence) || ']'
+|| CASE WHEN s_line % 4 > 1 THEN '  (sites: ' || CAST(s_line % 4 AS VARCHAR) || ')' ELSE '' END AS line FROM edges WHERE confidence IN (0.0625, 0.375, 0.5, 0.75, 1.0)""")
+def occurrence_lines(x: Index) -> DataFrame:
+    """Scores that two decimals show without a tie."""
+    rows = graph.edges(x).where(F.col("confidence").isin(0.0625, 0.375, 0.5, 0.75, 1.0))
+    depth = F.when(F.col("s_col") != 2, F.col("s_col"))
+    return rows.select("id", render.occurrence_line(F.concat("source", F.lit(" → "), "target"), F.col("path"), F.col("s_line"), F.col("provenance"), F.col("confidence"), F.col("s_line") % 4, depth).alias("line"))
+
+
+@query(f""", {_PER_NAME} SELECT name, CASE WHEN definitions > 8 THEN 'No stored edges for "' || name || '". It has ' || definitions || ' declarations and ' || sites || ' parsed site(s); ambiguous name-only sites may have been suppressed.'
+ELSE '"' || name || '" is indexed (' || definitions || ' definition(s)) but has no matching edges' END AS message, CASE WHEN definitions > 8 THEN '"' || name || '" has ' || definitions || ' declarations and ' || sites
+|| ' parsed site(s). Name-only resolution is capped at this fan-out, so additional ambiguous sites may be absent.' END AS warning FROM p""")
+def empty_messages(x: Index) -> DataFrame:
+    """What an empty result would say of every name, as if none of its edges were stored."""
+    d, n = F.col("definitions"), F.col("sites")
+    rows = lookup.per_name(x)
+    return rows.select("name", render.empty_message(lookup.empty_reason(d, F.lit(0), n), F.col("name"), d, n).alias("message"), F.when(d > 8, render.fanout_message(F.col("name"), d, n)).alias("warning"))
+
+
+@query("""SELECT id, CASE WHEN length(t) > 80 THEN t[1:80] || '…' ELSE t END AS line FROM (SELECT id, trim(regexp_replace(name || repeat(chr(10) || '  ' || kind || chr(9), CAST(id % 9 AS INT)), '[ \\t\\n]+', ' ', 'g')) AS t FROM symbols)""")
+def one_lines(x: Index) -> DataFrame:
+    text = F.concat("name", F.repeat(F.concat(F.lit("\n  "), "kind", F.lit("\t")), (F.col("id") % 9).cast("int")))
+    return x.symbols.select("id", render.one_line(text).alias("line"))
+
+
+@query("""SELECT r.id AS ref_id, arg_min(s.id, (s.e_line - s.s_line) * 100000::BIGINT * 1000000 + s.id) AS symbol_id FROM refs r JOIN files f ON f.id = r.file_id AND f.lang = 'typescript' JOIN files g ON g.id = r.id % (SELECT n FROM nf)
+JOIN symbols s ON s.file_id = g.id AND s.s_line <= r.arg_count * 10 + 1 AND r.arg_count * 10 + 1 < s.e_line + 1 AND NOT (s.e_line = r.arg_count * 10 + 1) GROUP BY r.id""")
+def typed_targets(x: Index) -> DataFrame:
+    """A provider that knows a definition place for every reference, each at a column of its own; only ECMAScript files ask it."""
+    own = x.refs.withColumn("s_col", F.col("id").cast("int"))
+    refs = own.join(x.files.select(F.col("id").alias("file_id"), "path"), "file_id").withColumn("def", F.col("id") % x.files.count())
+    known = refs.join(x.files.select(F.col("id").alias("def"), F.col("path").alias("def_path")), "def")
+    known = known.select("path", F.col("s_line").alias("line"), F.col("s_col").alias("col"), "def_path", (F.col("arg_count") * 10 + 1).alias("def_line"), F.lit(1).alias("def_col"))
+    provider = build.typed(known)
+    return provider.fn(provider.asked(own, x), x).select("ref_id", "symbol_id")
+
+
+@query("""SELECT o.id, o.symbol_id, o.enclosing_id FROM (SELECT id, symbol_id, CASE WHEN s_line % 2 = 0 THEN enclosing_id END AS enclosing_id FROM occ WHERE s_col <> 3 AND file_id NOT IN (SELECT id FROM files WHERE lang = 'go')) o""")
+def known_occurrences(x: Index) -> DataFrame:
+    """Records by moniker: targets and files that nobody knows go, unknown enclosing symbols are null."""
+    ids = x.symbols.select("id", "moniker")
+    o = x.occurrences.join(ids.select(F.col("id").alias("symbol_id"), F.col("moniker").alias("t")), "symbol_id").join(ids.select(F.col("id").alias("enclosing_id"), F.col("moniker").alias("e")), "enclosing_id", "left")
+    target = F.when(F.col("s_col") == 3, F.concat("t", F.lit("?"))).otherwise(F.col("t"))
+    records = o.select("id", "file_id", target.alias("target_moniker"), F.when(F.col("s_line") % 2 == 0, F.col("e")).otherwise(F.lit("elsewhere")).alias("enclosing_moniker"))
+    return resolve.insert_occurrences(records, Index(x.files.where("lang <> 'go'"), x.symbols, x.occurrences)).select("id", "symbol_id", "enclosing_id")
+
+
+@query(""", w AS (SELECT id AS use_id, file_id AS f, name FROM refs UNION ALL SELECT use_id, f + 1, name FROM w WHERE f % 10 <> 9 AND f + 1 < (SELECT n FROM nf) AND NOT EXISTS (SELECT 1 FROM symbols s WHERE s.exported AND s.file_id = w.f AND s.name = w.name))
+SELECT use_id, s.id AS symbol_id FROM w JOIN symbols s ON s.exported AND s.file_id = w.f AND s.name = w.name""")
+def export_chains(x: Index) -> DataFrame:
+    """Every file re-exports all of the next one, in runs of ten."""
+    n = x.files.count()
+    step = x.files.where((F.col("id") % 10 != 9) & (F.col("id") + 1 < n)).select("id", F.col("id").alias("file_id"))
+    i = step.select("id", "file_id", F.lit("reexport-star").alias("kind"), F.lit(None).cast("string").alias("local_name"), F.lit(None).cast("string").alias("imported_name"))
+    module = step.select("id", (F.col("file_id") + 1).alias("file_id"))
+    uses = x.refs.select(F.col("id").alias("use_id"), "file_id", "name")
+    return resolve.follow_exports(uses, Index(x.files, x.symbols, None, x.refs, i), module)
+
+
+@query("""SELECT DISTINCT r.id AS ref_id, s.id AS symbol_id, 0.9::DOUBLE AS base FROM refs r JOIN files f ON f.id = r.file_id AND f.lang = 'typescript' JOIN symbols s ON s.exported AND s.name = r.name AND s.file_id = (r.file_id + 4) % (SELECT n FROM nf)
+WHERE (r.receiver IS NULL AND r.arg_count < 3) OR r.receiver = 'this'""")
+def ecmascript_imports(x: Index) -> DataFrame:
+    """Each TypeScript file imports from the fourth one after it: by name what its calls with few arguments use, and all of it under
+    the receiver's name."""
+    n = x.files.count()
+    ts = x.files.where("lang = 'typescript'").select(F.col("id").alias("file_id"))
+    r = x.refs.join(ts, "file_id", "left_semi")
+    to = (F.col("file_id") + 4) % n
+    named = r.where("receiver IS NULL AND arg_count < 3").select("file_id", F.lit("named").alias("kind"), F.col("name").alias("local_name"), F.col("name").alias("imported_name"), to.alias("to"), "arg_count").distinct()
+    space = ts.select("file_id", F.lit("namespace").alias("kind"), F.lit("this").alias("local_name"), F.lit(None).cast("string").alias("imported_name"), to.alias("to"), F.lit(9).alias("arg_count"))
+    i = named.union(space).withColumn("id", F.xxhash64("file_id", "kind", "local_name", "arg_count"))
+    asked = r.where("receiver = 'this' OR arg_count < 3")
+    return resolve.bind_ecmascript(asked, Index(x.files, x.symbols, None, asked, i.drop("to", "arg_count")), i.select("id", F.col("to").alias("file_id"))).select("ref_id", "symbol_id", "base")
+
+
+@query("""SELECT DISTINCT r.id AS ref_id, s.id AS symbol_id, 0.85::DOUBLE AS base FROM refs r JOIN files f ON f.id = r.file_id AND f.lang = 'go' JOIN files g ON g.lang = 'go' AND g.id <> f.id AND regexp_replace(g.path, '/[^/]*$', '') = regexp_replace(f.path, '/[^/]*$', '')
+JOIN symbols s ON s.file_id = g.id AND s.name = r.name WHERE r.receiver IS NULL UNION ALL
+SELECT DISTINCT r.id, s.id, 0.9::DOUBLE FROM refs r JOIN files f ON f.id = r.file_id AND f.lang = 'go' JOIN files g ON g.lang = 'go' AND regexp_replace(g.path, '/[^/]*$', '') = 'src/n' || CAST(r.file_id % 25 AS VARCHAR) JOIN symbols s ON s.file_id = g.id AND s.name = r.name AND s.exported WHERE r.receiver = 'this'""")
+def go_packages(x: Index) -> DataFrame:
+    """Each Go file imports one directory under the receiver's name; bare names are the own directory's."""
+    go = x.files.where("lang = 'go'")
+    i = go.select("id", F.col("id").alias("file_id"), F.lit("namespace").alias("kind"), F.concat(F.lit("example.org/m/src/n"), (F.col("id") % 25).cast("string")).alias("source"), F.lit("this").alias("local_name"))
+    return resolve.bind_go(x.refs, Index(x.files, x.symbols, None, x.refs, i), "example.org/m").select("ref_id", "symbol_id", "base")
+
+
+@query("""SELECT DISTINCT r.id AS ref_id, s.id AS symbol_id, 0.9::DOUBLE AS base FROM refs r JOIN files f ON f.id = r.file_id AND f.lang = 'python' JOIN files g ON g.lang = 'python' AND g.id = (r.file_id + 4) % (SELECT n FROM nf) JOIN symbols s ON s.file_id = g.id AND s.name = r.name""")
+def python_imports(x: Index) -> DataFrame:
+    """Each Python file imports the names it uses from the fourth file after it, and that module under the receiver's name."""
+    n = x.files.count()
+    py = x.files.where("lang = 'python'").select(F.col("id").alias("file_id"), ((F.col("id") + 4) % n).alias("to"))
+    at = x.files.select(F.col("id").alias("to"), F.translate(F.regexp_replace("path", r"\.py$", ""), "/", ".").alias("source"))
+    to = py.join(at, "to")
+    named = x.refs.where("receiver IS NULL").select("file_id", "name").distinct().join(to, "file_id").select("file_id", "source", F.lit("named").alias("kind"), F.col("name").alias("imported_name"), F.col("name").alias("local_name"))
+    space = to.select("file_id", "source", F.lit("namespace").alias("kind"), F.lit(None).cast("string").alias("imported_name"), F.lit("this").alias("local_name"))
+    i = named.union(space).withColumn("id", F.xxhash64("file_id", "kind", "local_name"))
+    return resolve.bind_python(x.refs.join(py, "file_id", "left_semi"), Index(x.files, x.symbols, None, x.refs, i)).select("ref_id", "symbol_id", "base")
+
+
+@query("""SELECT DISTINCT r.id AS ref_id, s.id AS symbol_id, 0.85::DOUBLE AS base FROM refs r JOIN files f ON f.id = r.file_id AND f.lang = 'java' JOIN files g ON g.lang = 'java' AND g.id <> f.id AND regexp_replace(g.path, '/[^/]*$', '') = regexp_replace(f.path, '/[^/]*$', '')
+JOIN symbols s ON s.file_id = g.id AND s.name = r.name WHERE r.receiver IS NULL UNION ALL
+SELECT DISTINCT r.id, s.id, 0.9::DOUBLE FROM refs r JOIN files f ON f.id = r.file_id AND f.lang = 'java' JOIN files g ON g.lang = 'java' AND g.id = (r.file_id + 4) % (SELECT n FROM nf) JOIN symbols s ON s.file_id = g.id AND s.name = r.name WHERE r.receiver = 'this'""")
+def java_imports(x: Index) -> DataFrame:
+    """Each Java file imports the class of the fourth file after it as the receiver; bare names are the own package's."""
+    n = x.files.count()
+    to = x.files.where("lang = 'java'").select("id", F.col("id").alias("file_id"), ((F.col("id") + 4) % n).alias("to"))
+    at = x.files.select(F.col("id").alias("to"), F.translate(F.regexp_replace("path", r"\.java$", ""), "/", ".").alias("source"))
+    i = to.join(at, "to").select("id", "file_id", F.lit("named").alias("kind"), "source", F.lit("this").alias("local_name"), F.lit(False).alias("is_static"))
+    return resolve.bind_java(x.refs, Index(x.files, x.symbols, None, x.refs, i)).select("ref_id", "symbol_id", "base")
+
+
+@query("""SELECT f.path, 'loomgraph . my  repo . `' || f.path || '`/`' || owner_type || '`#' || name || '.' AS symbol, true AS definition, name_s_line AS s_line, name_s_col AS s_col, name_s_line AS e_line, CAST(name_s_col + 3 AS INT) AS e_col FROM symbols s JOIN files f ON f.id = s.file_id
+UNION ALL SELECT DISTINCT f.path, 'loomgraph . my  repo . `' || g.path || '`/`' || owner_type || '`#' || name || '.', false, o.s_line, o.s_col, o.s_line, CAST(o.s_col + 4 AS INT) FROM occ o JOIN files f ON f.id = o.file_id JOIN symbols s ON s.id = o.symbol_id JOIN files g ON g.id = s.file_id""")
+def scip_round_trip(x: Index) -> DataFrame:
+    """Every definition and use, written as SCIP documents and read back from their bytes against sources of blank lines."""
+    docs = scip.documents(_named_places(x), "my repo").orderBy("path")
+    whole = docs.agg(F.collect_list("document").alias("d"))
+
+    def joined(batches):
+        for b in batches:
+            for parts in b.column("d").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(scip.wire.block(scip.INDEX_DOCUMENTS, p) for p in parts)], pa.binary())], names=["content"])
+
+    blank = x.files.select("path", F.repeat(F.concat(F.repeat(F.lit(" "), 60), F.lit("\n")), 1200).alias("content"))
+    return scip.decode(whole.mapInArrow(joined, "content binary"), blank).drop("nth").withColumn("symbol", F.regexp_replace("symbol", f"^{scip.SCHEME} ", "loomgraph "))
+
+
+def _named_places(x: Index) -> Index:
+    """Symbols with the end of their name."""
+    s = x.symbols.withColumn("name_e_line", F.col("name_s_line")).withColumn("name_e_col", (F.col("name_s_col") + 3).cast("int"))
+    return Index(x.files, s, x.occurrences.withColumn("e_line", F.col("s_line")).withColumn("e_col", (F.col("s_col") + 4).cast("int")))
+
+
+_SIDES = """, old AS (SELECT * FROM symbols), mine AS (SELECT id FROM files WHERE path LIKE 'src/n1/%')"""
+
+
+@query(f"""{_SIDES} SELECT DISTINCT name FROM symbols WHERE file_id IN (SELECT id FROM mine)""")
+def changed_names(x: Index) -> DataFrame:
+    i = x.imports.select("file_id", F.lit("named").alias("kind"), F.lit(None).cast("string").alias("local_name"), F.lit(None).cast("string").alias("imported_name"))
+    s = x.symbols.withColumn("export_name", F.lit(None).cast("string"))
+    return incremental.declared_names(Index(x.files, s, x.occurrences, x.refs, i), _mine(x))
+
+
+@query(f"""{_SIDES} SELECT DISTINCT o.file_id FROM occ o JOIN symbols s ON s.id = o.symbol_id WHERE s.file_id IN (SELECT id FROM mine)""")
+def dependents(x: Index) -> DataFrame:
+    return incremental.dependents(x, _mine(x))
+
+
+def _mine(x: Index) -> DataFrame:
+    return x.files.where(F.startswith("path", F.lit("src/n1/"))).select(F.col("id").alias("file_id"))
+
+
+@query(""", t AS (SELECT DISTINCT file_id, s_line, s_col, symbol_id FROM occ WHERE provenance = 'typed'), pl AS (SELECT DISTINCT file_id, s_line, s_col FROM t),
+one AS (SELECT * FROM (SELECT o.*, row_number() OVER (PARTITION BY o.file_id, o.s_line, o.s_col, o.symbol_id ORDER BY confidence DESC, prank DESC, id) AS n FROM occ o JOIN pl USING (file_id, s_line, s_col) WHERE provenance <> 'typed') WHERE n = 1),
+c AS (SELECT o.*, t.symbol_id IS NOT NULL AS ok, row_number() OVER (PARTITION BY o.file_id, o.s_line, o.s_col ORDER BY confidence DESC, prank DESC, o.symbol_id) AS r, max(confidence) OVER (PARTITION BY o.file_id, o.s_line, o.s_col) AS top
+FROM one o LEFT JOIN t ON t.file_id = o.file_id AND t.s_line = o.s_line AND t.s_col = o.s_col AND t.symbol_id = o.symbol_id),
+g AS (SELECT file_id, s_line, s_col, max(top) AS top, count(*) AS n, bool_or(ok) AS hit, bool_or(ok AND r = 1) AS first, count(*) FILTER (WHERE confidence = top) AS tops, bool_or(ok AND confidence = top) AS among FROM c GROUP BY ALL)
+SELECT (SELECT count(*) FROM pl) AS places, count(*) AS comparable, count(*) FILTER (WHERE hit) AS recalled, count(*) FILTER (WHERE first) AS top1, count(*) FILTER (WHERE tops = 1) AS unique_top, count(*) FILTER (WHERE tops = 1 AND first) AS unique_top_right,
+count(*) FILTER (WHERE top >= 0.9) AS high, count(*) FILTER (WHERE top >= 0.9 AND first) AS high_right, count(*) FILTER (WHERE among AND NOT first) AS tied, count(*) FILTER (WHERE hit AND NOT among) AS below, count(*) FILTER (WHERE NOT hit) AS missed,
+CAST(coalesce(sum(n), 0) AS BIGINT) AS candidates, coalesce(max(n), 0) AS most FROM g""")
+def accuracy(x: Index) -> DataFrame:
+    typed = F.col("provenance") == "typed"
+    return evaluate.accuracy(x.occurrences.where(~typed), x.occurrences.where(typed))
+
+
+_TOKENS = """tk AS (SELECT s.id, s.name, moniker, list_filter(string_split_regex(lower(s.name), '[^a-z0-9]+'), lambda w: w <> '') AS a, list_filter(string_split_regex(kind, '[^a-z0-9]+'), lambda w: w <> '') AS b,
+list_filter(string_split_regex(lower(path), '[^a-z0-9]+'), lambda w: w <> '') AS c FROM symbols s JOIN files f ON f.id = s.file_id),
+ct AS (SELECT *, len(a) + len(b) + len(c) AS n, """ + ", ".join(
+    " + ".join(f"{w} * len(list_filter(range(1, len({c}) + 1), lambda i: {cond.replace('@', c)}))" for c, w in (("a", 10.0), ("b", 1.0), ("c", 3.0))) + f"::DOUBLE AS t{k}"
+    for k, cond in enumerate(("starts_with(@[i], 'anv')", "@[i] = 'cold' AND starts_with(coalesce(@[i + 1], ''), 'an')", "starts_with(@[i], 'econ')"))
+) + """ FROM tk), st AS (SELECT count(*) AS nn, avg(n) AS mean, count(*) FILTER (WHERE t0 > 0) AS d0, count(*) FILTER (WHERE t1 > 0) AS d1, count(*) FILTER (WHERE t2 > 0) AS d2 FROM ct),
+sc AS (SELECT id, name, moniker, """ + " + ".join(f"(-greatest(1e-6, ln((nn - d{k} + 0.5) / (d{k} + 0.5))) * t{k} * 2.2 / (t{k} + 1.2 * (0.25 + 0.75 * n / mean)))" for k in range(3)) + " AS score FROM ct, st WHERE t0 + t1 + t2 > 0)"
+
+
+@query(f", {_TOKENS} SELECT id, name, round(score, 6) AS score FROM sc")
+def search_scores(x: Index) -> DataFrame:
+    return search.bm25(x, "anv cold_an econ").select("id", "name", F.round("score", 6).alias("score"))
+
+
+@query(f""", {_TOKENS} SELECT name, moniker, tier FROM (SELECT *, CASE WHEN lower(name) = 'anvcoldanecon' THEN 0 WHEN lower(name) LIKE '%a%n%v%c%o%l%d%a%n%e%c%o%n%' THEN 1 ELSE 2 END AS tier FROM (SELECT * FROM sc ORDER BY round(score, 9), moniker LIMIT 80)) ORDER BY tier, round(score, 9), moniker LIMIT 20""")
+def search_best(x: Index) -> DataFrame:
+    return search.search(x, "anv cold_an econ").select("name", "moniker", "tier")
+
+
+@query(f"""SELECT section, label, path, s_line FROM (SELECT 'symbol' AS section, moniker AS label, path, s_line FROM symbols s JOIN files f ON f.id = s.file_id WHERE moniker = (SELECT min(moniker) FROM symbols)
+UNION ALL SELECT * FROM (SELECT 'caller', source, path, s_line FROM edges WHERE symbol_id = (SELECT arg_min(id, moniker) FROM symbols) AND role IN ('call', 'reference') {_ORDER} LIMIT 15)
+UNION ALL SELECT * FROM (SELECT 'callee', target, path, s_line FROM edges WHERE enclosing_id = (SELECT arg_min(id, moniker) FROM symbols) AND role IN ('call', 'reference') {_ORDER} LIMIT 15)
+UNION ALL SELECT * FROM (SELECT 'implementer', source, path, s_line FROM edges WHERE symbol_id = (SELECT arg_min(id, moniker) FROM symbols) AND role IN ('extends', 'implements') {_ORDER} LIMIT 15)
+UNION ALL SELECT * FROM (SELECT 'supertype', target, path, s_line FROM edges WHERE enclosing_id = (SELECT arg_min(id, moniker) FROM symbols) AND role IN ('extends', 'implements') {_ORDER} LIMIT 15))""")
+def exploration(x: Index) -> DataFrame:
+    """A symbol's surroundings but for the impact counts, which the tests hold against brute force."""
+    return explore.explore(x, moniker=x.symbols.agg(F.min("moniker")).first()[0]).where("section NOT LIKE 'impact%'").select("section", "label", "path", "s_line")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ PRECISE_FLOOR = 0.9
 IMPACT_FLOOR = 0.1
 MAX_RESULTS, MAX_DEPTH, MAX_BUDGET = 500, 10, 50_000
 MAX_FILE_BYTES = 512 * 1024
-FILE_CAP = 20_000
+FILE_CAP, TYPED_FILE_CAP, MAX_FILES = 20_000, 500, 100_000
 TOP_LEVEL = "(top level)"
 CLASS_KINDS = ("class", "interface", "abstract_class", "struct", "trait", "type", "module", "enum")
 

@@ -55,7 +55,7 @@ class Rules:
                     return not negated
         return False
 
-    def ignores(self, path: str) -> bool:
-        """Whether a file, or a directory above it, is ignored."""
+    def ignores(self, path: str, is_dir: bool = False) -> bool:
+        """Whether a file or directory, or a directory above it, is ignored."""
         parts = path.split("/")
-        return any(self._one("/".join(parts[:k]), k < len(parts)) for k in range(1, len(parts) + 1))
+        return any(self._one("/".join(parts[:k]), k < len(parts) or is_dir) for k in range(1, len(parts) + 1))

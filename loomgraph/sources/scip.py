@@ -19,7 +19,7 @@ SYMBOL_NAME, SYMBOL_DISPLAY = 1, 6
 DEFINITION, UTF8, UTF16, UTF32 = 1, 1, 2, 3
 SCORE = 0.95
 SCHEME = "codegraph"
-_ROWS = "path string, symbol string, definition boolean, s_line int, s_col int, e_line int, e_col int"
+_ROWS = "path string, symbol string, definition boolean, s_line int, s_col int, e_line int, e_col int, nth long"
 
 
 def utf16_column(line: str, column: int, encoding: int) -> int | None:
@@ -74,27 +74,27 @@ def decode(indexes: DataFrame, sources: DataFrame) -> DataFrame:
             for raw in b.column("content").to_pylist():
                 docs = [v for n, v in wire.fields(raw) if n == INDEX_DOCUMENTS]
                 paths = [next((v.decode() for n, v in wire.fields(d) if n == DOC_PATH), "") for d in docs]
-                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(docs, pa.binary())], names=["path", "document"])
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(docs, pa.binary()), pa.array(range(len(docs)), pa.int64())], names=["path", "document", "nth"])
 
     def read(batches):
         for b in batches:
             rows = []
-            for path, raw, content in zip(*(b.column(c).to_pylist() for c in ("path", "document", "content"))):
+            for path, raw, nth, content in zip(*(b.column(c).to_pylist() for c in ("path", "document", "nth", "content"))):
                 doc = _grouped(raw)
                 text = doc[DOC_TEXT][-1].decode() if DOC_TEXT in doc else content
                 if text is None:
                     continue
                 lines, encoding = text.split("\n"), doc.get(DOC_ENCODING, [0])[-1]
-                for o in map(_grouped, doc.get(DOC_OCCURRENCES, [])):
+                for k, o in enumerate(map(_grouped, doc.get(DOC_OCCURRENCES, []))):
                     symbol = o.get(OCC_SYMBOL, [b""])[-1].decode()
                     where = placed(raw_range(o), encoding, lines)
                     if where and symbol and not symbol.startswith("local "):
-                        rows.append((path, symbol, bool(o.get(OCC_ROLES, [0])[-1] & DEFINITION), *where))
+                        rows.append((path, symbol, bool(o.get(OCC_ROLES, [0])[-1] & DEFINITION), *where, nth << 32 | k))
             if rows:
-                kinds = (pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["path", "symbol", "definition", *facts.RANGE])
+                kinds = (pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["path", "symbol", "definition", *facts.RANGE, "nth"])
 
-    docs = indexes.select("content").mapInArrow(split, "path string, document binary")
+    docs = indexes.select("content").mapInArrow(split, "path string, document binary, nth long")
     return docs.join(sources.select("path", "content"), "path", "left").mapInArrow(read, _ROWS)
 
 
@@ -102,8 +102,8 @@ def ingest(decoded: DataFrame, index: Index) -> DataFrame:
     """Edges of provenance scip: a symbol's last definition whose name token is one of the index gives the target."""
     files = index.files.select("path", F.col("id").alias("file_id"))
     d = decoded.join(files, "path")
-    places = d.where("definition").select("symbol", "file_id", F.col("s_line").alias("line"), F.col("s_col").alias("col"))
-    target = lookup.symbol_at_name(index, places).groupBy("symbol").agg(F.max_by("symbol_id", F.struct("file_id", "line", "col")).alias("symbol_id"))
+    places = d.where("definition").select("symbol", "file_id", F.col("s_line").alias("line"), F.col("s_col").alias("col"), "nth")
+    target = lookup.symbol_at_name(index, places).groupBy("symbol").agg(F.max_by("symbol_id", "nth").alias("symbol_id"))
     uses = d.where("NOT definition").join(target, "symbol").select("file_id", *facts.RANGE, "symbol_id").distinct()
     uses = uses.withColumn("id", F.xxhash64("file_id", *facts.RANGE, "symbol_id"))
     return facts.enclosing(uses, index.symbols).select("id", "symbol_id", "file_id", *facts.RANGE, F.lit("reference").alias("role"), "enclosing_id", F.lit("scip").alias("provenance"), F.lit(SCORE).alias("confidence"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 import pyarrow as pa
@@ -20,20 +21,58 @@ BANNER_LINES = 40
 
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path relative to root, size, mtime_ms) of every file. Spark's own listing leaves out names with a leading underscore."""
+    """(path relative to root, size, mtime_ms, visit) of every file, ``visit`` in the order of the walk. Spark's own listing leaves
+    out names with a leading underscore. Links, pruned directories, what ignore files exclude and repositories inside the tree
+    aren't entered."""
     from pyarrow import fs
 
     store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
-    rows, todo = [], [base.rstrip("/")]
+    base = base.rstrip("/")
+    local = isinstance(store, fs.LocalFileSystem)
+    texts: dict[str, str] = {}
+    rules = Rules({})
+    rows, todo = [], [base]
     while todo:
-        for f in sorted(store.get_file_info(fs.FileSelector(todo.pop())), key=lambda f: f.path):
-            rel = f.path[len(base.rstrip("/")) + 1 :]
+        here = todo.pop()
+        found = sorted(store.get_file_info(fs.FileSelector(here)), key=lambda f: f.base_name.encode())
+        names = {f.base_name: f for f in found}
+        if here != base and ".git" in names:
+            continue
+        if ".gitignore" in names and names[".gitignore"].type == fs.FileType.File and not (local and os.path.islink(names[".gitignore"].path)):
+            with store.open_input_stream(names[".gitignore"].path) as f:
+                texts[here[len(base) + 1 :]] = f.read().decode(errors="replace")
+            rules = Rules(texts)
+        for f in found:
+            rel = f.path[len(base) + 1 :]
+            if local and os.path.islink(f.path):
+                continue
             if f.type == fs.FileType.Directory:
-                if f.base_name not in paths.PRUNED and not f.base_name.startswith("."):
+                if f.base_name not in paths.PRUNED and not f.base_name.startswith(".") and not rules.ignores(rel, True):
                     todo.append(f.path)
-            elif f.type == fs.FileType.File:
-                rows.append((rel, f.size, f.mtime_ns / 1e6 if f.mtime_ns else 0.0))
-    return spark.createDataFrame(rows, "path string, size long, mtime_ms double")
+            elif f.type == fs.FileType.File and not rules.ignores(rel):
+                rows.append((rel, f.size, f.mtime_ns / 1e6 if f.mtime_ns else 0.0, len(rows)))
+    return spark.createDataFrame(rows, "path string, size long, mtime_ms double, visit long")
+
+
+def read_text(root: str, name: str) -> str | None:
+    """A small file of the tree, or None."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+    try:
+        with store.open_input_stream(f"{base.rstrip('/')}/{name}") as f:
+            return f.read().decode(errors="replace")
+    except OSError:
+        return None
+
+
+def contained(root: str, path: str) -> str | None:
+    """The real place of a relative path, if it is inside of the root and no link itself."""
+    if not path or "\0" in path or "\\" in path or path.startswith("/") or re.match("[A-Za-z]:", path) or any(s in ("", ".", "..") for s in path.split("/")):
+        return None
+    base, full = os.path.realpath(root), os.path.join(root, path)
+    real = os.path.realpath(full)
+    return real if os.path.lexists(full) and not os.path.islink(full) and real.startswith(base + os.sep) else None
 
 
 def read_files(listing: DataFrame, root: str) -> DataFrame:
@@ -77,16 +116,31 @@ def precedence_losers(files: DataFrame) -> DataFrame:
     return f.join(rules, "ext").join(over, ["stem", "preferred"], "left_semi").select("path").distinct()
 
 
-def choose(listing: DataFrame, ignore: dict[str, str] | None = None, cap: int = FILE_CAP) -> DataFrame:
-    """Listed files that may be indexed, with their language: the first ``cap`` by path. Contents aren't read for that."""
+def indexable(listing: DataFrame) -> DataFrame:
+    """Listed files (path, size) that may be indexed, with their language: by path, size and preferred siblings."""
     kept = listing.where(paths.is_safe(F.col("path")) & ~paths.is_pruned(F.col("path")) & ~paths.is_generated_path(F.col("path")) & (F.col("size") <= MAX_FILE_BYTES))
     kept = kept.withColumn("lang", paths.language(F.col("path"))).where("lang IS NOT NULL")
+    return kept.join(precedence_losers(listing), "path", "left_anti")
+
+
+def first_of(files: DataFrame, cap: int = FILE_CAP) -> tuple[DataFrame, bool]:
+    """The first ``cap`` files in the order of the walk, and whether more were left out."""
+    order = ["visit"] if "visit" in files.columns else list(paths.visit_key(F.col("path")))
+    more = files.limit(cap + 1).count() > cap
+    return (files.orderBy(*order).limit(cap) if more else files), more
+
+
+def choose(listing: DataFrame, ignore: dict[str, str] | None = None, cap: int = FILE_CAP) -> DataFrame:
+    """Listed files that may be indexed, the first ``cap`` of the walk. Contents aren't read for that.
+
+    ignore: texts of ignore files by directory, for listings that don't come from list_tree().
+    """
+    kept = indexable(listing)
     if ignore:
         rules = Rules(ignore)
         keep = F.pandas_udf(lambda s: s.map(lambda p: not rules.ignores(p)), "boolean")
         kept = kept.where(keep("path"))
-    kept = kept.join(precedence_losers(kept), "path", "left_anti")
-    return kept.orderBy("path").limit(cap)
+    return first_of(kept, cap)[0]
 
 
 def not_generated(files: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.build import Layout
 from ..plans.lineage import cut
 from ..plans.store import Store
 
@@ -21,13 +22,13 @@ def applied(files: DataFrame, changes: DataFrame) -> DataFrame:
     return kept.unionByName(c.where("content IS NOT NULL").select("path", "content"))
 
 
-def watch(changes: DataFrame, store: Store, files: DataFrame, checkpoint: str, once: bool = False):
-    """Start a streaming query that syncs the store batch by batch; a batch that is run again gives the same state."""
-    state = {"files": files}
+def watch(changes: DataFrame, store: Store, files: DataFrame, checkpoint: str, once: bool = False, layout: Layout = Layout()):
+    """Start a streaming query that syncs the store batch by batch. The store keeps the current sources, so a restart goes on from
+    there; ``files`` serve where it has none yet. A batch that is run again gives the same state."""
 
     def on_batch(batch: DataFrame, _: int) -> None:
-        state["files"] = cut(applied(state["files"], batch))
-        store.sync(state["files"])
+        known = store.table("sources")
+        store.sync(cut(applied(files if known is None else known, batch)), layout, keep_sources=True)
 
     writer = changes.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=DEBOUNCE)).start()

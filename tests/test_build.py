@@ -42,20 +42,95 @@ def test_tree_to_edges_and_scip_round_trip(spark, tmp_path):
     assert {r.confidence for r in back.collect()} == {0.95}
 
 
+def by_place(index):
+    """Edges without ids: what a rebuild has to give as well."""
+    return sorted((r.target, r.source, r.path, r.s_line, r.s_col, r.role, round(r.confidence, 6), r.provenance) for r in graph.edges(index).collect())
+
+
+def as_files(spark, files):
+    return spark.createDataFrame(list(files.items()), "path string, content string")
+
+
 def test_store_and_stream(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"), "r")
-    files = spark.createDataFrame([(k, v) for k, v in FILES.items() if k != "s.py"], "path string, content string")
-    assert store.sync(files)["new"] == 6
+    files = as_files(spark, {k: v for k, v in FILES.items() if k != "s.py"})
+    got = store.sync(files)
+    assert (got["new"], got["unparsed"], got["resolved"]) == (5, 1, "all")
     first = store.manifest()["version"]
     assert Store(spark, str(tmp_path / "store"), "elsewhere").load() is None
+    (tmp_path / "store" / "manifest" / "000000000009.json").write_text("{")  # a sync that died
+    assert store.manifest()["version"] == first
+    (tmp_path / "store" / "manifest" / "000000000009.json").unlink()
     changes = tmp_path / "changes"
     changes.mkdir()
-    rows = [("s.py", FILES["s.py"], 1), ("app.py", None, 2)]
-    (changes / "1.json").write_text("\n".join(json.dumps(dict(zip(("path", "content", "seq"), r))) for r in rows))
-    stream = spark.readStream.schema("path string, content string, seq long").json(str(changes))
-    watch(stream, store, files, str(tmp_path / "ckpt"), once=True).awaitTermination()
+
+    def batch(name, rows):
+        (changes / name).write_text("\n".join(json.dumps(dict(zip(("path", "content", "seq"), r))) for r in rows))
+        stream = spark.readStream.schema("path string, content string, seq long").json(str(changes))
+        watch(stream, Store(spark, str(tmp_path / "store"), "r"), files, str(tmp_path / "ckpt"), once=True).awaitTermination()
+
+    batch("1.json", [("s.py", FILES["s.py"], 1), ("app.py", None, 2)])
     assert store.manifest()["version"] != first
     assert edges(store.load()) == {e for e in EDGES if e[2] != "app.py"}
+    batch("2.json", [("app.py", FILES["app.py"], 3)])  # another process goes on where the first one ended
+    assert edges(store.load()) == EDGES
+    assert len(list((tmp_path / "store" / "manifest").glob("*.json"))) == 2
+
+
+EDITS = [
+    ("a body", {"app.py": "from pkg.mod import helper\n\ndef run():\n    helper(1)\n    other()\n    helper(2)\n"}, "scoped"),
+    ("a declaration moves", {"pkg/mod.py": "\n" + FILES["pkg/mod.py"]}, "scoped"),
+    ("a name appears", {"more.py": "def other():\n    pass\n"}, "scoped"),
+    ("a base changes", {"pkg/kid.py": FILES["pkg/kid.py"].replace("(Base)", "")}, "all"),
+    ("a file goes", {"s.py": None}, "scoped"),
+    ("nothing", {}, "none"),
+]
+
+
+def test_scoped_syncs_equal_rebuilds(spark, tmp_path):
+    store, files = Store(spark, str(tmp_path / "store")), dict(FILES)
+    parsed = []
+    store.sync(as_files(spark, files))
+    for what, edit, way in EDITS:
+        files = {k: v for k, v in (files | edit).items() if v is not None}
+        got = store.sync(as_files(spark, files))
+        assert got["resolved"] == way, what
+        assert got["new"] + got["changed"] + got["gone"] == len(edit) + (what != "nothing") * 1 or got["changed"] + got["gone"] <= 1, what
+        parsed.append(got)
+    assert by_place(store.load()) == by_place(build(as_files(spark, files)))
+    assert store.verify(as_files(spark, files | {"app.py": "x = 1\n"})) == {"changed": 1, "new": 1, "gone": 0}  # bad.py is never indexed
+
+
+def test_ignore_files_and_aliases_are_read_from_the_tree(spark, tmp_path):
+    texts = {
+        "tsconfig.json": '{ // aliases\n "compilerOptions": {"paths": {"@app/*": ["src/*"]}} }', ".gitignore": "ignored/\n*.tmp.ts\n!keep.tmp.ts\n", "src/.gitignore": "local.ts\n",
+        "src/util.ts": "export function tool(a: number) { return a; }\n", "src/main.ts": "import { tool } from '@app/util';\nexport function main() { return tool(1); }\n", "src/local.ts": "export function tool() {}\n",
+        "ignored/x.ts": "export function tool() {}\n", "a.tmp.ts": "x();\n", "keep.tmp.ts": "main();\n", "nested/.git/HEAD": "x", "nested/n.ts": "export function tool() {}\n", "node_modules/m.ts": "", "src/util.js": "function tool() {}\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    (tmp_path / "link.ts").symlink_to(tmp_path / "src/util.ts")
+    index = build_tree(spark, str(tmp_path))
+    assert {r.path for r in index.files.collect()} == {"src/util.ts", "src/main.ts", "keep.tmp.ts"}
+    assert ("tool", "main", "src/main.ts", 0.9, "syntactic") in edges(index)
+    listing = tree.list_tree(spark, str(tmp_path))
+    assert [r.path for r in listing.orderBy("visit").collect()][:3] == [".gitignore", "keep.tmp.ts", "tsconfig.json"]
+    chosen, more = tree.first_of(tree.indexable(listing), 2)
+    assert more and [r.path for r in chosen.collect()] == ["keep.tmp.ts", "src/main.ts"]
+    assert tree.contained(str(tmp_path), "src/main.ts") and not tree.contained(str(tmp_path), "link.ts") and not tree.contained(str(tmp_path), "../x")
+
+
+def test_a_mixed_tree_resolves_across_files(spark):
+    files = {
+        "go.mod": "module example.org/m\n", "cmd/main.go": 'package main\nimport "example.org/m/util"\nfunc main() { util.Do(1); side() }\n', "cmd/side.go": "package main\nfunc side() {}\n", "util/u.go": "package util\nfunc Do(a int) {}\n",
+        "j/Main.java": "package j;\nimport k.Tool;\nclass Main extends Tool { void go() { Tool.run(1); this.stay(); } }\n", "k/Tool.java": "package k;\npublic class Tool { static void run(int a) {} void stay() {} }\n",
+        "r.rb": "class Vehicle\n  def drive(a)\n  end\nend\nclass Car < Vehicle\n  def go\n    drive 1\n  end\nend\n", "k.kt": "open class Base { fun b() {} }\nclass D : Base() { fun d() { helper(1) } }\nfun helper(a: Int) {}\n",
+    }
+    from loomgraph.plans.build import Layout
+
+    got = {(t, s, c) for t, s, _, c, _ in edges(build(as_files(spark, files), layout=Layout.of(None, files["go.mod"])))}
+    assert {("Do", "main", 0.9), ("side", "main", 0.85), ("run", "go", 0.9), ("Tool", "Main", 0.9), ("stay", "go", 0.85), ("Vehicle", "Car", 1.0), ("Base", "D", 1.0), ("helper", "d", 1.0)} <= got
 
 
 def test_python_facts_are_in_utf16():
@@ -144,22 +219,42 @@ def test_go_packages(spark):
     assert found(resolve.bind_go(x.refs, x, "example.org/m")) == want and found(resolve.bind_go(x.refs, x)) == want
 
 
-def test_command_line_and_exploration(spark, tmp_path, capsys):
+def test_command_line(spark, tmp_path, capsys):
     from loomgraph.__main__ import main, parser
 
     src = tmp_path / "src"
-    for name, text in FILES.items():
+    for name, text in (FILES | {"a.ts": "import './b';\nexport function one() { return two(1); }\n", "b.ts": "import './a';\nexport function two(n: number) {}\n"}).items():
         (src / name).parent.mkdir(parents=True, exist_ok=True)
         (src / name).write_text(text)
     store = ["--store", str(tmp_path / "store")]
     assert main([*store, "status"]) == 1
     assert main([*store, "sync", str(src)]) == 0
     capsys.readouterr()
-    main([*store, "callers", "helper", "--limit", "5"])
-    assert [line.split("\t")[1] for line in capsys.readouterr().out.splitlines()] == ["outer", "run"]
-    main([*store, "explore", "Kid"])
-    assert {line.split("\t")[0] for line in capsys.readouterr().out.splitlines()} == {"symbol", "supertype"}
-    for bad in (["callers"], ["callers", "a", "--moniker", "b"], ["def", "a", "--limit", "501"], ["impact", "a", "--depth", "0"], ["nothing"]):
+
+    def say(*words):
+        assert main([*store, *words]) == 0
+        return capsys.readouterr().out.splitlines()
+
+    assert say("callers", "helper", "--limit", "5") == ["outer → helper  s.py:4  [scoped, 1.00]", "run → helper  app.py:4  [syntactic, 0.90]"]
+    assert say("callers", "nobody") == ['no symbol named "nobody" (not indexed; sync if it is new)'] and say("callers", "run") == ['"run" is indexed (1 definition(s)) but has no matching edges']
+    assert say("explore", "Kid", "--root", str(src))[:3] == [say("def", "Kid")[0], "class Kid(Base):", "    def do(self):"]
+    assert say("explore", "helper")[0].startswith("2 candidates") and say("implementers", "Base") == ["Kid extends Base  pkg/kid.py:3  [syntactic, 0.90]"]
+    assert say("impact", "helper")[0] == "direct outer → helper  s.py:4  [scoped, 1.00]"
+    assert say("cycles") == ["cycle group (2 files): a.ts, b.ts"]
+    assert say("match", "(call function: (identifier) @f (#eq? @f \"helper\"))", "--lang", "python", "--root", str(src)) == ["app.py:4  f=helper", "s.py:4  f=helper"]
+    assert main([*store, "match", "(call", "--lang", "python", "--root", str(src)]) == 1
+    (src / "app.py").write_text("x = 1\n")
+    assert {"files 7", "changed 1", "gone 0"} <= set(say("status", "--verify", str(src)))
+    (src / "app.py").write_text(FILES["app.py"])
+    say("scip", str(tmp_path / "index.scip"))
+    before = len(say("refs", "helper"))
+    assert int(say("scip-import", str(tmp_path / "index.scip"), "--root", str(src))[0].split()[0]) >= 4
+    assert any("scip, 0.95" in line for line in say("refs", "helper")) and len(say("refs", "helper")) == before
+    assert "missed 0" in say("scip-eval", str(tmp_path / "index.scip"), "--root", str(src))
+    (src / "new.py").write_text("def fresh(): pass\n")
+    main([*store, "sync", str(src)])
+    assert "'new': 2" in capsys.readouterr().out and any("scip, 0.95" in line for line in say("refs", "helper"))  # ingested edges outlive a sync; bad.py is tried anew
+    for bad in (["callers"], ["callers", "a", "--moniker", "b"], ["def", "a", "--limit", "501"], ["impact", "a", "--depth", "0"], ["nothing"], ["sync", "x", "--max-files", "100001"]):
         with pytest.raises(SystemExit):
             parser().parse_args([*store, *bad])
 
