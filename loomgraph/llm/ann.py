@@ -1,17 +1,18 @@
 """Approximate nearest neighbours by largest inner product: an NN-descent graph and greedy graph search, both as Spark joins.
 
-Equal vectors form a class with one node. Vectors of different norms get one more coordinate that makes all norms equal, so
-that nearness in the graph is the inner product's. The graph starts from blocks of a few random-projection trees; in each
-NN-descent round every node's neighbours, forward and reverse, meet at that node and keep whom they find nearer than their
-own farthest neighbour. Queries start from their node's neighbours and go on, best unvisited nodes first, in rounds of joins.
-Graph and search work on 8-bit vectors; the nodes that remain are scored on the original vectors in double precision.
+Equal vectors form a class with one node. The graph starts from blocks of a few random-projection trees; in each NN-descent
+round every node's neighbours, forward and reverse, meet at that node and keep whom they find nearer than their own farthest
+neighbour. Only pairs with a neighbour that is new since the last round meet, and rounds go on, at every size, until few edges
+change. Queries start from their node's neighbours and go on, best unvisited nodes first, in rounds of joins. Graph and
+search work on 8-bit directions with each vector's own norm beside them, so no vector's norm coarsens another's code; the
+nodes that remain are scored on the original vectors in double precision.
 
 An approximate method: reverse neighbours that meet at a node are limited to ``width``, as NN-descent is defined. Every
 vector is a node of the graph. Members of a class beyond the ``top + 1`` smallest ids can't be among a query's results.
 
-Vectors that are null, empty, zero, of another length than the first query dimension, or that hold nulls or non-finite
-numbers take no part; nor do rows without an id. Of rows that repeat an id each different vector is one candidate. An empty
-table gives no rows. Other columns are not read.
+Vectors that are null, empty, zero, or that hold nulls or non-finite numbers take no part, nor do rows without an id. Where
+vectors differ in length, those of the commonest length take part (of equally common ones the greatest). Of rows that repeat
+an id each different vector is one candidate. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,15 +23,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import cut, shuffle_partitions
+from .common import cut, lookup, shuffle_partitions
 
 TOP, NEIGHBOURS, WIDTH = 20, 24, 48
-TREES, BLOCK, ROUNDS, EMIT = 6, 2048, 4, 4
+TREES, BLOCK, EMIT = 6, 512, 6
+STILL = 0.01  # the descent ends when a smaller share of the edges is new
 BEAM, STEP_EMIT, POOL = 64, 32, 256
 SEED = 7
 
-_EDGE = "u long, w long, sim float"
+_EDGE = "u long, w long, sim float, fresh boolean"
 
 
 def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,23 +69,24 @@ def grouped(df: DataFrame, key: str, fn: Callable, schema: str) -> DataFrame:
     return df.repartition(n, key).sortWithinPartitions(key).mapInArrow(by_group(key, fn), schema)
 
 
-def _edges(u: np.ndarray, w: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(w, pa.int64()), pa.array(sim, pa.float32())], names=["u", "w", "sim"])
+def _edges(u: np.ndarray, w: np.ndarray, sim: np.ndarray, fresh: np.ndarray | None = None) -> pa.RecordBatch:
+    fresh = np.ones(len(u), bool) if fresh is None else fresh
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(w, pa.int64()), pa.array(sim, pa.float32()), pa.array(fresh)], names=["u", "w", "sim", "fresh"])
 
 
 def best_per_node(edges: DataFrame, k: int) -> DataFrame:
-    """The k nearest different w of each u."""
+    """The k nearest different w of each u; of edges that come twice the one that isn't fresh."""
 
     def keep(t: pa.Table):
-        u, w, sim = (t.column(c).to_numpy() for c in ("u", "w", "sim"))
-        o = np.lexsort((-sim, w, u))
-        u, w, sim = u[o], w[o], sim[o]
+        u, w, sim, fresh = (t.column(c).to_numpy() for c in ("u", "w", "sim", "fresh"))
+        o = np.lexsort((fresh, w, u))
+        u, w, sim, fresh = u[o], w[o], sim[o], fresh[o]
         new = np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
-        u, w, sim = u[new], w[new], sim[new]
+        u, w, sim, fresh = u[new], w[new], sim[new], fresh[new]
         o = np.lexsort((w, -sim, u))
         start, size = runs(u)
         o = o[np.arange(len(u)) - np.repeat(start, size) < k]
-        yield _edges(u[o], w[o], sim[o])
+        yield _edges(u[o], w[o], sim[o], fresh[o])
 
     return grouped(edges, "u", keep, _EDGE)
 
@@ -97,20 +101,27 @@ def vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     )
 
 
-def unpack(column: pa.ChunkedArray | pa.Array, kind: str = "i1") -> np.ndarray:
-    """Rows of a binary column of equal sizes as a matrix."""
+def unpack(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Rows of a column of codes as a matrix of vectors."""
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.frombuffer(b"".join(a.to_pylist()), kind).reshape(len(a), -1)
+    return decoded(np.frombuffer(b"".join(a.to_pylist()), "u1").reshape(len(a), -1))
 
 
-def quantised(nodes: DataFrame, dim: int, norm: float) -> DataFrame:
-    """(id, q): 8-bit unit vectors with the coordinate that evens out the norms."""
+def decoded(raw: np.ndarray) -> np.ndarray:
+    """Vectors from rows of code bytes: a float32 scale, then 8-bit coordinates."""
+    return np.ascontiguousarray(raw[:, 4:]).view("i1").astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view("<f4")
+
+
+def quantised(nodes: DataFrame, dim: int) -> DataFrame:
+    """(id, q): each vector's scale and its coordinates in 8 bits, the largest of which is 127."""
 
     def run(batches):
         for b in batches:
-            x = b.column("v").flatten().to_numpy().reshape(b.num_rows, dim) / norm
-            rest = np.sqrt(np.maximum(0, 1 - (x * x).sum(1, keepdims=True)))
-            q = np.rint(np.concatenate([x, rest], 1) * 127).astype("i1")
+            if not b.num_rows:
+                continue
+            x = b.column("v").flatten().to_numpy().reshape(b.num_rows, dim)
+            top = np.abs(x).max(1, keepdims=True)
+            q = np.concatenate([(top / 127).astype("<f4").view("u1"), np.rint(x / top * 127).astype("i1").view("u1")], 1)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([r.tobytes() for r in q], pa.binary())], names=["id", "q"])
 
     return nodes.select("id", "v").mapInArrow(run, "id long, q binary")
@@ -123,7 +134,9 @@ def first_graph(coded: DataFrame, dim: int, n: int, k: int, trees: int, block: i
     def leaves(batches):
         r = np.random.default_rng(SEED).standard_normal((trees, dim, bits + 1))
         for b in batches:
-            x = unpack(b.column("q")).astype(np.float32)
+            if not b.num_rows:
+                continue
+            x = unpack(b.column("q"))
             for t in range(trees):
                 side = x @ r[t]
                 leaf = (side[:, :bits] > 0) @ (1 << np.arange(bits)) + (t << 40) if bits else np.full(len(x), t << 40)
@@ -131,7 +144,7 @@ def first_graph(coded: DataFrame, dim: int, n: int, k: int, trees: int, block: i
 
     def brute(t: pa.Table):
         start, size = runs(t.column("leaf").to_numpy())
-        ids, x = t.column("id").to_numpy(), unpack(t.column("q")).astype(np.float32)
+        ids, x = t.column("id").to_numpy(), unpack(t.column("q"))
         for a, m in zip(start.tolist(), size.tolist()):
             parts = -(-m // block)
             for p in range(parts):
@@ -150,40 +163,44 @@ def first_graph(coded: DataFrame, dim: int, n: int, k: int, trees: int, block: i
     return cut(best_per_node(dealt.mapInArrow(by_group("leaf", brute), _EDGE), k))
 
 
-def members(graph: DataFrame, coded: DataFrame, with_limit: bool) -> DataFrame:
-    """(v, m, q, sim, limit): every node v with its forward and reverse neighbours m and their vectors."""
-    both = graph.select(F.col("u").alias("v"), F.col("w").alias("m"), "sim").union(graph.select(F.col("w").alias("v"), F.col("u").alias("m"), "sim"))
-    known = coded.select(F.col("id").alias("m"), "q")
-    if with_limit:
-        known = known.join(graph.groupBy(F.col("u").alias("m")).agg(F.min("sim").alias("limit")), "m", "left")
-    return both.join(known, "m")
+def both_ways(graph: DataFrame, width: int) -> DataFrame:
+    """(v, m, sim, fresh): every node v with its forward and reverse neighbours m, the ``2 * width`` nearest. Spark applies the
+    limit before the shuffle too, so the reverse neighbours of a hub never come together."""
+    near = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), "m"))
+    both = graph.select(F.col("u").alias("v"), F.col("w").alias("m"), "sim", "fresh").union(graph.select(F.col("w").alias("v"), F.col("u").alias("m"), "sim", "fresh"))
+    return both.withColumn("near", near).where(F.col("near") <= 2 * width).drop("near")
 
 
 def descend(graph: DataFrame, coded: DataFrame, k: int, width: int, emit: int) -> DataFrame:
-    """One NN-descent round: neighbours of a node meet there."""
+    """One NN-descent round: neighbours of a node meet there, new ones with all, old ones with new ones."""
+    met = both_ways(graph, width)
+    live = met.groupBy("v").agg(F.bool_or("fresh").alias("any")).where("any").select("v")
+    known = coded.select(F.col("id").alias("m"), "q").join(graph.groupBy(F.col("u").alias("m")).agg(F.min("sim").alias("limit")), "m", "left")
 
     def meet(t: pa.Table):
         start, size = runs(t.column("v").to_numpy())
-        ids, sim, limit = (t.column(c).to_numpy() for c in ("m", "sim", "limit"))
-        x = unpack(t.column("q")).astype(np.float32)
+        ids, sim, limit, fresh = (t.column(c).to_numpy(zero_copy_only=False) if c == "fresh" else t.column(c).to_numpy() for c in ("m", "sim", "limit", "fresh"))
+        x = unpack(t.column("q"))
         for a, n in zip(start.tolist(), size.tolist()):
-            _, first = np.unique(ids[a : a + n], return_index=True)
-            at = a + first
+            at = a + np.lexsort((~fresh[a : a + n], ids[a : a + n]))
+            at = at[np.concatenate([[True], ids[at][1:] != ids[at][:-1]])]
             if len(at) > width:
                 at = at[np.argpartition(-sim[at], width - 1)[:width]]
-            if len(at) < 2:
+            new = fresh[at]
+            if len(at) < 2 or not new.any():
                 continue
             s = x[at] @ x[at].T
             np.fill_diagonal(s, -np.inf)
+            s[np.ix_(~new, ~new)] = -np.inf
             e = min(emit, len(at) - 1)
             best = np.argpartition(-s, e - 1, axis=1)[:, :e]
             value = np.take_along_axis(s, best, 1)
-            row, col = np.nonzero(value > limit[at][:, None])
+            row, col = np.nonzero((value > limit[at][:, None]) | (np.isnan(limit[at])[:, None] & (value > -np.inf)))
             if len(row):
                 yield _edges(ids[at][row], ids[at][best[row, col]], value[row, col])
 
-    found = grouped(members(graph, coded, True), "v", lambda t: joined(meet(t)), _EDGE)
-    return cut(best_per_node(graph.union(found), k))
+    found = grouped(met.join(live, "v", "left_semi").join(known, "m"), "v", lambda t: joined(meet(t)), _EDGE)
+    return cut(best_per_node(graph.withColumn("fresh", F.lit(False)).unionByName(found), k))
 
 
 def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +235,8 @@ def packed(graph: DataFrame, coded: DataFrame, width: int) -> DataFrame:
         if rows:
             yield _packed(rows)
 
-    return grouped(members(graph, coded, False), "v", pack, "id long, ids array<long>, block binary")
+    known = coded.select(F.col("id").alias("m"), "q")
+    return grouped(both_ways(graph, width).join(known, "m"), "v", pack, "id long, ids array<long>, block binary")
 
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
@@ -254,13 +272,13 @@ def ranked(pool: DataFrame, beam: int, keep: int) -> DataFrame:
 
 
 def directions(nodes: DataFrame) -> DataFrame:
-    """(u, own): the nodes' unit vectors as queries, whose last coordinate is 0."""
+    """(u, own): the nodes' unit vectors as queries."""
 
     def run(batches):
         for b in batches:
             if b.num_rows:
                 x = b.column("v").flatten().to_numpy().reshape(b.num_rows, -1)
-                x = np.concatenate([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))], 1).astype("f4")
+                x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("f4")
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([r.tobytes() for r in x], pa.binary())], names=["u", "own"])
 
     return nodes.select("id", "v").mapInArrow(run, "u long, own binary")
@@ -281,7 +299,7 @@ def search(graph: DataFrame, coded: DataFrame, own: DataFrame, beam: int, keep:
             for u, own_, ids, block in zip(b.column("u").to_pylist(), b.column("own").to_pylist(), b.column("ids"), b.column("block").to_pylist()):
                 x = np.frombuffer(own_, "f4")
                 w = ids.values.to_numpy()
-                s = np.frombuffer(block, "i1").reshape(len(w), -1).astype(np.float32) @ x
+                s = decoded(np.frombuffer(block, "u1").reshape(len(w), -1)) @ x
                 s[w == u] = -np.inf
                 best = np.argpartition(-s, emit - 1)[:emit] if len(s) > emit else np.arange(len(s))
                 best = best[s[best] > -np.inf]
@@ -293,41 +311,49 @@ def search(graph: DataFrame, coded: DataFrame, own: DataFrame, beam: int, keep:
 
     while not state.where("frontier").isEmpty():
         ahead = state.where("frontier").select("u", F.col("w").alias("id")).join(own, "u").join(node, "id").select("u", "own", "ids", "block")
-        found = ahead.mapInArrow(visit, _EDGE).withColumn("visited", F.lit(False))
+        found = ahead.mapInArrow(visit, _EDGE).drop("fresh").withColumn("visited", F.lit(False))
         state = cut(ranked(state.drop("frontier").unionByName(found), beam, keep))
     return state.select("u", "w")
 
 
-def nearest(
-    df: DataFrame, every: int = 20, top: int = TOP, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, block: int = BLOCK, rounds: int = ROUNDS
-) -> DataFrame:
+def build(coded: DataFrame, dim: int, n: int, trees: int = TREES, block: int = BLOCK) -> DataFrame:
+    """The neighbour graph: NN-descent rounds from the trees' blocks until fewer than STILL of the edges are new."""
+    graph = first_graph(coded, dim, n, NEIGHBOURS, trees, block)
+    while True:
+        graph = descend(graph, coded, NEIGHBOURS, WIDTH, EMIT)
+        edges, fresh = graph.agg(F.count("*"), F.count_if("fresh")).first()
+        if fresh <= STILL * edges:
+            return graph
+
+
+def nearest(df: DataFrame, every: int = 20, top: int = TOP, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest found of each row whose id is divisible by ``every``."""
     spark = df.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     rows = vectors(df, id_col, vector_col)
     is_query = F.col("vec_id") % every == 0
-    # one node per vector; of each the queries, and the least ids, one more than asked for as a query doesn't find itself
-    classes = cut(rows.groupBy("v", "vec_id").count().groupBy("v").agg(F.min("vec_id").alias("id")))
-    same = rows.distinct().join(classes, "v").select("id", "vec_id")
-    facts = classes.agg(F.count("*"), F.max(F.size("v")), F.min(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
-    n, dim, least, norm = facts[0], facts[1], facts[2], float(np.sqrt(facts[3] or 1.0))
-    if not n:
+    sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
+    if sizes is None:
         return spark.createDataFrame([], schema)
-    if least != dim:
-        raise ValueError("vectors of different lengths have no inner product")
+    dim = sizes["dim"]
+    # one node per vector; of each the queries, and the least ids, one more than asked for as a query doesn't find itself
+    rows = cut(rows.where(F.size("v") == dim).distinct())
+    classes = cut(rows.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")))
+    n, members = classes.agg(F.count("*"), F.sum("n")).first()
+    same = lookup(rows, classes, "v", members).select("id", "vec_id")
+    classes = classes.drop("n")
     # the least ids of each class, found without bringing a class together: by partial top lists
     small = _least_members(same, top + 1)
-    coded = cut(quantised(classes, dim, norm))
-    graph = first_graph(coded, dim + 1, n, NEIGHBOURS, trees, block)
-    if n > block:
-        for _ in range(rounds):
-            graph = descend(graph, coded, NEIGHBOURS, WIDTH, EMIT)
+    coded = cut(quantised(classes, dim))
+    graph = build(coded, dim, n, trees, block)
     asked = cut(same.where(is_query).select(F.col("vec_id").alias("query_id"), "id"))
-    own = directions(classes.join(asked.select("id").distinct(), "id", "left_semi"))
+    per = cut(asked.groupBy("id").agg(F.count("*").alias("n")))
+    own = directions(classes.join(per.select("id"), "id", "left_semi"))
     found = search(graph, coded, own, BEAM, POOL, WIDTH, STEP_EMIT)
-    best = best_by_score(found.union(asked.select("id", "id").distinct()), classes, top)
+    best = best_by_score(found.union(per.select("id", "id")), classes, top)
     # every query of a class, against the least members of the classes found
-    hits = asked.join(best.withColumnRenamed("u", "id"), "id").select("query_id", F.col("w").alias("id"), "score").join(small, "id").where("vec_id <> query_id")
+    hits = lookup(asked, best.withColumnRenamed("u", "id").join(per, "id"), "id", members)
+    hits = hits.select("query_id", F.col("w").alias("id"), "score").join(small, "id").where("vec_id <> query_id")
 
     def cut_off(t: pa.Table):
         q, v, s = (t.column(c).to_numpy() for c in ("query_id", "vec_id", "score"))
@@ -342,8 +368,6 @@ def nearest(
 
 def _least_members(same: DataFrame, k: int) -> DataFrame:
     """(id, vec_id): the k least members of each class, salted first so that a class of any size is dealt out."""
-    from pyspark.sql.window import Window
-
     n = shuffle_partitions(same.sparkSession)
     part = same.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(n)))
     part = part.withColumn("r", F.row_number().over(Window.partitionBy("id", "salt").orderBy("vec_id"))).where(F.col("r") <= k)
