@@ -28,7 +28,7 @@ from .common import cut, shuffle_partitions, texts
 
 CAPACITY, END_ID = 1024, 2
 SIMPLE = 0x250  # below this code point the letter and number classes of all Unicode versions agree
-CACHE_PIECES = 400_000
+CACHE_PIECES, CACHE_CHARS = 400_000, 64  # pieces kept at a time, and their length at most
 
 
 def _class(kind: str) -> str:
@@ -66,9 +66,11 @@ class Tokens(dict):
         self.merge = tiktoken.Encoding("pieces", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > CACHE_PIECES:
-            self.clear()
-        ids = self[piece] = np.array(self.merge(piece.encode()), "<u4").tobytes()
+        ids = np.array(self.merge(piece.encode()), "<u4").tobytes()
+        if len(piece) <= CACHE_CHARS:
+            if len(self) > CACHE_PIECES:
+                self.clear()
+            self[piece] = ids
         return ids
 
     def whole(self, text: str) -> bytes:
@@ -178,34 +180,32 @@ def slots(patterns: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray,
 def place(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to rows that have a ``length`` of 1 to capacity.
 
-    The driver gets a histogram: at most capacity x buckets counts.
+    The driver gets the histogram of lengths, ``capacity`` counts at most. How many pieces of a length stand in the buckets
+    before a piece's own comes by a window over the counts of the buckets.
     """
     spark = parts.sparkSession
     fields = [f for f in parts.schema.fields if f.name not in ("sequence_id", "offset")]
     buckets = shuffle_partitions(spark)
     parts = cut(parts.select([f.name for f in fields]).withColumn("_b", F.pmod(F.xxhash64(*[f.name for f in fields if f.name != "ids"]), F.lit(buckets)).cast("int")))
-    per = parts.groupBy("length", "_b").count().collect()
-    counts: dict[int, int] = {}
-    before: dict[tuple[int, int], int] = {}
-    for r in sorted(per):
-        before[r["length"], r["_b"]] = counts.get(r["length"], 0)
-        counts[r["length"]] = counts.get(r["length"], 0) + r["count"]
-    table = spark.sparkContext.broadcast((before, slots(best_two_fit(counts, capacity))))
+    per = parts.groupBy("length", "_b").agg(F.count("*").alias("_n"))
+    counts = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    table = spark.sparkContext.broadcast(slots(best_two_fit(counts, capacity)))
+    earlier = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("length", "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     order = [F.col(f.name) for f in fields if f.name not in ("length", "ids")]
-    ranked = parts.withColumn("_r", F.row_number().over(Window.partitionBy("length", "_b").orderBy(*order)))
+    ranked = parts.withColumn("_r", F.row_number().over(Window.partitionBy("length", "_b").orderBy(*order))).join(per, ["length", "_b"])
 
     def run(batches):
-        before, runs = table.value
+        runs = table.value
         for b in batches:
             n = b.column("length").to_numpy()
-            bucket, rank = b.column("_b").to_numpy(), b.column("_r").to_numpy().astype(np.int64) - 1
+            rank = b.column("_before").to_numpy() + b.column("_r").to_numpy() - 1
             sequence, offset = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
             for length in np.unique(n).tolist():
                 at = np.flatnonzero(n == length)
-                r = rank[at] + np.array([before[length, k] for k in bucket[at].tolist()], np.int64)
                 first, seq, each, start = runs[length]
-                k = np.searchsorted(first, r, "right") - 1
-                q, rest = np.divmod(r - first[k], each[k])
+                k = np.searchsorted(first, rank[at], "right") - 1
+                q, rest = np.divmod(rank[at] - first[k], each[k])
                 sequence[at] = seq[k] + q
                 offset[at] = start[k] + rest * length
             yield pa.RecordBatch.from_arrays(

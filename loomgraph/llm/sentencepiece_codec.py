@@ -22,7 +22,7 @@ from .common import map_texts, texts
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CACHE_WORDS, SLICE_CHARS = 500_000, 1_000_000
+CACHE_WORDS, CACHE_IDS, SLICE_CHARS = 500_000, 4_000_000, 1_000_000
 NONE = np.int64(1) << 62
 TABLE_BITS = 18
 
@@ -159,7 +159,7 @@ class Codec:
     def flat(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts, and the number of ids of each; words met before come from a bounded cache."""
         split = [self.words(t) for t in batch]
-        if len(self.index) > CACHE_WORDS:
+        if len(self.index) > CACHE_WORDS or self.start[-1] > CACHE_IDS:
             self.forget()
         index = self.index
         new = [w for w in set().union(*split) if w not in index]
