@@ -286,7 +286,7 @@ def bind_java(refs: DataFrame, index: Index) -> DataFrame:
     A receiver that a plain import names is that class and nothing else.
     """
     java = index.files.where("lang = 'java'").select(F.col("id").alias("file_id"), "path", paths.dirname(F.col("path")).alias("dir"))
-    i = index.imports.join(java.select("file_id"), "file_id", "left_semi").select("id", "file_id", "kind", "source", "local_name", F.coalesce("is_static", F.lit(False)).alias("static"))
+    i = index.imports.join(java.select("file_id"), "file_id", "left_semi").select("id", "file_id", "kind", F.nullif("source", F.lit("")).alias("source"), "local_name", "imported_name", F.coalesce("is_static", F.lit(False)).alias("static"))
     r = refs.join(java.select("file_id", "dir"), "file_id").select(F.col("id").alias("ref_id"), "file_id", "dir", "name", "receiver")
     wide, member = F.col("kind") == "wildcard", F.col("receiver").isNotNull()
     j = r.join(i, "file_id")
@@ -299,7 +299,7 @@ def bind_java(refs: DataFrame, index: Index) -> DataFrame:
         .when(~member & ~F.col("static") & ~wide & (F.col("local_name") == F.col("name")), 2)
         .when(~member & ~F.col("static") & wide, 3)
     )
-    inner = F.when(wide & ~F.col("static"), F.coalesce("receiver", "name")).when(wide & member, F.col("receiver"))
+    inner = F.when(wide & ~F.col("static"), F.coalesce("receiver", "name")).when(wide & member, F.col("receiver")).when(~wide & ~F.col("static"), F.col("imported_name"))
     j = j.withColumn("prio", order).where("prio IS NOT NULL").withColumn("fqn", F.concat_ws(".", "source", inner))
     first = Window.partitionBy("ref_id", "prio").orderBy("id")
     j = j.withColumn("_r", F.row_number().over(first)).where(~member | (F.col("_r") == 1))

@@ -584,8 +584,8 @@ def java_imports(x: Index) -> DataFrame:
     """Each Java file imports the class of the fourth file after it as the receiver; bare names are the own package's."""
     n = x.files.count()
     to = x.files.where("lang = 'java'").select("id", F.col("id").alias("file_id"), ((F.col("id") + 4) % n).alias("to"))
-    at = x.files.select(F.col("id").alias("to"), F.translate(F.regexp_replace("path", r"\.java$", ""), "/", ".").alias("source"))
-    i = to.join(at, "to").select("id", "file_id", F.lit("named").alias("kind"), "source", F.lit("this").alias("local_name"), F.lit(False).alias("is_static"))
+    at = x.files.select(F.col("id").alias("to"), F.translate(paths.dirname(F.col("path")), "/", ".").alias("source"), F.regexp_replace(paths.basename(F.col("path")), r"\.java$", "").alias("imported_name"))
+    i = to.join(at, "to").select("id", "file_id", F.lit("named").alias("kind"), "source", "imported_name", F.lit("this").alias("local_name"), F.lit(False).alias("is_static"))
     return resolve.bind_java(x.refs, Index(x.files, x.symbols, None, x.refs, i)).select("ref_id", "symbol_id", "base")
 
 

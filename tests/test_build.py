@@ -267,7 +267,7 @@ def test_java_imports(spark):
         [(1, "src/a/Main.java", "java"), (2, "src/b/Tool.java", "java"), (3, "src/a/Side.java", "java"), (4, "src/c/Wide.java", "java")],
         [(10, 2, "run", True, None), (11, 3, "near", True, None), (12, 4, "wide", True, None), (13, 2, "Tool", True, None), (14, 3, "run", True, None)],
         [(100, 1, "run", "Tool"), (101, 1, "near", "Side"), (102, 1, "wide", "Wide"), (103, 1, "Tool", None), (104, 1, "near", None), (105, 1, "absent", "Tool"), (106, 1, "run", None)],
-        [(1, 1, "b.Tool", "named", "Tool", "Tool"), (2, 1, "c", "wildcard", None, None)],
+        [(1, 1, "b", "named", "Tool", "Tool"), (2, 1, "c", "wildcard", None, None)],
     )
     x = type(x)(x.files, x.symbols, None, x.refs, x.imports.selectExpr("*", "false AS is_static"))
     assert found(resolve.bind_java(x.refs, x)) == [(100, 10, 0.9), (101, 11, 0.85), (102, 12, 0.9), (103, 13, 0.9), (104, 11, 0.85), (106, 14, 0.85)]
