@@ -78,10 +78,8 @@ def test_store_and_stream(spark, tmp_path):
 
 
 EDITS = [
-    ("a body", {"app.py": "from pkg.mod import helper\n\ndef run():\n    helper(1)\n    other()\n    helper(2)\n"}, "scoped"),
     ("a declaration moves and a name appears", {"pkg/mod.py": "\n" + FILES["pkg/mod.py"], "more.py": "def other():\n    pass\n"}, "scoped"),
-    ("a base changes", {"pkg/kid.py": FILES["pkg/kid.py"].replace("(Base)", "")}, "all"),
-    ("a file goes", {"s.py": None}, "scoped"),
+    ("a base changes and a file goes", {"pkg/kid.py": FILES["pkg/kid.py"].replace("(Base)", ""), "s.py": None}, "all"),
     ("nothing", {}, "none"),
 ]
 
