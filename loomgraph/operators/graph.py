@@ -80,15 +80,26 @@ def impact_groups(index: Index, floor: float = IMPACT_FLOOR) -> DataFrame:
     )
 
 
+def impact_rows(index: Index, front: DataFrame, share: int | None = None) -> DataFrame:
+    """A frontier's (pos, symbol_id) groups with names: of each symbol the ``share`` best, all of them without one; of a source that
+    several targets have the first row. Edges are narrowed to the frontier before they are grouped."""
+    names = index.symbols.select(F.col("id").alias("symbol_id"), F.col("name").alias("target"))
+    sources = index.symbols.select(F.col("id").alias("enclosing_id"), F.col("name").alias("source"), F.col("moniker").alias("by"))
+    groups = impact_groups(Index(index.files, index.symbols, index.occurrences.join(front.select("symbol_id"), "symbol_id", "left_semi")))
+    w = Window.partitionBy("pos").orderBy(F.desc("confidence"), "path", "s_line", "s_col", "by")
+    rows = groups.join(front, "symbol_id").join(sources, "enclosing_id", "left").withColumn("rn", F.row_number().over(w))
+    rows = (rows if share is None else rows.where(F.col("rn") <= share)).join(names, "symbol_id")
+    once = Window.partitionBy("enclosing_id").orderBy("pos", "rn")
+    return rows.withColumn("again", F.row_number().over(once)).where("again = 1")
+
+
 def impact(index: Index, name: str | None = None, moniker: str | None = None, depth: int = 2, limit: int = 20) -> DataFrame:
     """Reverse calls, level by level. Every frontier symbol may give a fair share of the rows that are left; rows seen before use
-    up share as well. All top-level sites are one row. A level's edges are narrowed to the frontier before they are grouped; at
-    most ``limit`` ids are kept between levels. The seeds, all symbols of a name, stay a table."""
+    up share as well. All top-level sites are one row. At most ``limit`` ids are kept between levels. The seeds, all symbols of a
+    name, stay a table."""
     limited(depth, MAX_DEPTH, "depth")
     limited(limit, MAX_RESULTS)
     spark = index.symbols.sparkSession
-    names = index.symbols.select(F.col("id").alias("symbol_id"), F.col("name").alias("target"))
-    sources = index.symbols.select(F.col("id").alias("enclosing_id"), F.col("name").alias("source"), F.col("moniker").alias("by"))
     seeds = _chosen(index, name, moniker).select(F.col("id").alias("pos"), F.col("id").alias("symbol_id"))
     front, size = seeds, seeds.count()
     seen_symbols, seen_sources, out = set(), set(), []
@@ -97,12 +108,7 @@ def impact(index: Index, name: str | None = None, moniker: str | None = None, de
         if not size or left <= 0:
             break
         share = max(1, -(-left // size))
-        near = index.occurrences.join(F.broadcast(front.select("symbol_id")) if level > 1 else front.select("symbol_id"), "symbol_id", "left_semi")
-        groups = impact_groups(Index(index.files, index.symbols, near))
-        w = Window.partitionBy("pos").orderBy(F.desc("confidence"), "path", "s_line", "s_col", "by")
-        rows = groups.join(front, "symbol_id").join(sources, "enclosing_id", "left").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= share).join(names, "symbol_id")
-        once = Window.partitionBy("enclosing_id").orderBy("pos", "rn")  # of a source that several targets have the first row
-        rows = rows.withColumn("again", F.row_number().over(once)).where("again = 1")
+        rows = impact_rows(index, F.broadcast(front) if level > 1 else front, share)
         if seen_sources:
             known = [i for i in seen_sources if i is not None]
             rows = rows.where(~F.col("enclosing_id").isin(known) if None in seen_sources else F.col("enclosing_id").isNull() | ~F.col("enclosing_id").isin(known))

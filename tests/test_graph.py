@@ -53,7 +53,7 @@ def repeated(tmp_path_factory):
     return str(to), con
 
 
-@pytest.mark.parametrize("name", ["impact_groups"])
+@pytest.mark.parametrize("name", ["impact_groups", "impact_direct"])
 def test_query_equals_sql_on_repeated_tables(spark, repeated, name):
     to, con = repeated
     got, want = Q.queries()[name](spark, to).toPandas(), con.execute(Q.oracle_sql()[name]).df()
@@ -102,6 +102,11 @@ def test_impact_levels_and_sites(spark):
         graph.impact(x, "target", depth=11)
 
 
+def test_impact_direct_has_every_row(spark):
+    x = small_index(spark, [Q.SEED_NAME] + [f"c{k}" for k in range(600)], [(Q.SEED_NAME, f"c{k}", "f", k, "call", 1.0, "scoped") for k in range(600)])
+    assert sorted(r.s_line for r in Q.impact_direct(x).collect()) == list(range(600))
+
+
 def test_order_prefers_score_then_provenance_then_path(spark):
     x = small_index(spark, ["t", "a"], [("t", "a", "z", 1, "call", 0.9, "typed"), ("t", "a", "b", 9, "call", 0.9, "syntactic"), ("t", "a", "a", 9, "call", 0.9, "syntactic"), ("t", "a", "q", 1, "call", 1.0, "syntactic")])
     assert [r.path for r in graph.callers(x, "t").collect()] == ["q", "z", "a", "b"]
