@@ -194,9 +194,11 @@ def inherited_members(refs: DataFrame, index: Index, bases: DataFrame) -> DataFr
 
 
 def insert_occurrences(records: DataFrame, index: Index) -> DataFrame:
-    """Records by moniker as edges by id: unknown files and targets go, an unknown enclosing symbol is null."""
-    target = index.symbols.select(F.col("moniker").alias("target_moniker"), F.col("id").alias("symbol_id"))
-    around = index.symbols.select(F.col("moniker").alias("enclosing_moniker"), F.col("id").alias("enclosing_id"))
+    """Records by moniker as edges by id: unknown files and targets go, an unknown enclosing symbol is null. Of symbols that share a
+    moniker the last one counts, so a record stays one edge."""
+    ids = index.symbols.groupBy("moniker").agg(F.max("id").alias("id"))
+    target = ids.select(F.col("moniker").alias("target_moniker"), F.col("id").alias("symbol_id"))
+    around = ids.select(F.col("moniker").alias("enclosing_moniker"), F.col("id").alias("enclosing_id"))
     known = records.join(index.files.select(F.col("id").alias("file_id")), "file_id", "left_semi")
     return known.join(target, "target_moniker").join(around, "enclosing_moniker", "left").drop("target_moniker", "enclosing_moniker")
 

@@ -53,7 +53,7 @@ def repeated(tmp_path_factory):
     return str(to), con
 
 
-@pytest.mark.parametrize("name", ["impact_groups", "impact_direct"])
+@pytest.mark.parametrize("name", ["impact_groups", "impact_direct", "known_occurrences"])
 def test_query_equals_sql_on_repeated_tables(spark, repeated, name):
     to, con = repeated
     got, want = Q.queries()[name](spark, to).toPandas(), con.execute(Q.oracle_sql()[name]).df()
