@@ -41,6 +41,13 @@ def weight_targets(targets: DataFrame) -> DataFrame:
     return t.withColumn("confidence", F.when((F.col("_n") == 1) & (F.col("base") >= PRECISE_FLOOR), F.col("base")).otherwise(F.col("base") / share)).drop("_p", "_n")
 
 
+def weight_by_key(uses: DataFrame, targets: DataFrame, key: str) -> DataFrame:
+    """Scored rows where all references of a key have the same targets. uses: (ref_id, key); targets: (key, symbol_id, resolution, base).
+    Each key's targets are weighted once, and only those that stay meet its references: the products are never shuffled."""
+    once = weight_targets(targets.withColumnRenamed(key, "ref_id")).withColumnRenamed("ref_id", key)
+    return uses.join(once, key).drop(key)
+
+
 def cascade(tiers: list[DataFrame]) -> DataFrame:
     """Of tables (ref_id, ...) from the highest tier down: each reference's rows from the first that has any. A row with a null
     symbol_id (bound to a local) ends the search and gives nothing."""

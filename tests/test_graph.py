@@ -53,7 +53,7 @@ def repeated(tmp_path_factory):
     return str(to), con
 
 
-@pytest.mark.parametrize("name", ["impact_groups", "impact_direct", "known_occurrences"])
+@pytest.mark.parametrize("name", ["impact_groups", "impact_direct", "known_occurrences", "weight_candidates"])
 def test_query_equals_sql_on_repeated_tables(spark, repeated, name):
     to, con = repeated
     got, want = Q.queries()[name](spark, to).toPandas(), con.execute(Q.oracle_sql()[name]).df()
@@ -121,6 +121,12 @@ def test_weights(spark):
     assert by == {1: [0.0625] * 8, 3: [0.45] * 2, 4: [0.5], 5: [0.9]}
 
 
+def test_weights_of_a_name_are_never_shuffled_per_reference(spark):
+    """The only window is over the symbols, below the join with the references."""
+    plan = Q.queries()["weight_candidates"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Window")
+
+
 def tarjan_like(edges):
     nodes = {n for e in edges for n in e}
     reach = {n: set() for n in nodes}
