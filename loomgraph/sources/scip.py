@@ -19,6 +19,7 @@ SYMBOL_NAME, SYMBOL_DISPLAY = 1, 6
 DEFINITION, UTF8, UTF16, UTF32 = 1, 1, 2, 3
 SCORE = 0.95
 SCHEME = "codegraph"
+SLICE = 64  # documents turned into Python objects, or put into one index message, at a time
 _ROWS = "path string, symbol string, definition boolean, s_line int, s_col int, e_line int, e_col int, nth long"
 
 
@@ -58,6 +59,13 @@ def placed(r: tuple[int, int, int, int] | None, encoding: int, lines: list[str])
     return None if a is None or b is None or (r[0] == r[2] and a >= b) else (r[0] + 1, a, r[2] + 1, b)
 
 
+def slices(batches):
+    """Arrow batches in parts of at most SLICE rows."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
 def _grouped(raw: bytes) -> dict[int, list]:
     out: dict[int, list] = {}
     for n, v in wire.fields(raw):
@@ -67,17 +75,18 @@ def _grouped(raw: bytes) -> dict[int, list]:
 
 def decode(indexes: DataFrame, sources: DataFrame) -> DataFrame:
     """Occurrences of index files (content binary): one row each with a valid range. sources: (path, content) for documents without
-    a text of their own. Documents are dealt out before they are decoded."""
+    a text of their own. Documents are dealt out before they are decoded. A source table's size says little about its texts, so it
+    is never broadcast."""
 
     def split(batches):
-        for b in batches:
+        for b in slices(batches):
             for raw in b.column("content").to_pylist():
                 docs = [v for n, v in wire.fields(raw) if n == INDEX_DOCUMENTS]
                 paths = [next((v.decode() for n, v in wire.fields(d) if n == DOC_PATH), "") for d in docs]
                 yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(docs, pa.binary()), pa.array(range(len(docs)), pa.int64())], names=["path", "document", "nth"])
 
     def read(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for path, raw, nth, content in zip(*(b.column(c).to_pylist() for c in ("path", "document", "nth", "content"))):
                 doc = _grouped(raw)
@@ -95,7 +104,7 @@ def decode(indexes: DataFrame, sources: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["path", "symbol", "definition", *facts.RANGE, "nth"])
 
     docs = indexes.select("content").mapInArrow(split, "path string, document binary, nth long")
-    return docs.join(sources.select("path", "content"), "path", "left").mapInArrow(read, _ROWS)
+    return docs.hint("merge").join(sources.select("path", "content"), "path", "left").mapInArrow(read, _ROWS)
 
 
 def ingest(decoded: DataFrame, index: Index) -> DataFrame:
@@ -119,7 +128,7 @@ def documents(index: Index, repo: str) -> DataFrame:
     rows = files.select("path", "lang").join(defs.unionByName(uses).groupBy("path").agg(F.array_sort(F.collect_list(item)).alias("items")), "path", "left")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = []
             for path, lang, items in zip(*(b.column(c).to_pylist() for c in ("path", "lang", "items"))):
                 doc = [wire.block(DOC_PATH, path)]
@@ -134,6 +143,16 @@ def documents(index: Index, repo: str) -> DataFrame:
     return rows.mapInArrow(run, "path string, document binary")
 
 
+def index_messages(docs: DataFrame) -> DataFrame:
+    """(content): the documents as index messages of up to SLICE documents each, for readers that take several files."""
+
+    def run(batches):
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(wire.block(INDEX_DOCUMENTS, d) for d in b.column("document").to_pylist())], pa.binary())], names=["content"])
+
+    return docs.select("document").mapInArrow(run, "content binary")
+
+
 def index_bytes(docs: DataFrame, root: str = "") -> bytes:
     """One index message; a file format of one message, so the documents pass through the driver one by one, in path order."""
     out = [wire.block(INDEX_METADATA, wire.block(2, wire.block(1, "loomgraph")) + wire.block(3, root) + wire.number(4, 1))]

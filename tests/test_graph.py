@@ -53,7 +53,7 @@ def repeated(tmp_path_factory):
     return str(to), con
 
 
-@pytest.mark.parametrize("name", ["impact_groups", "impact_direct", "known_occurrences", "weight_candidates"])
+@pytest.mark.parametrize("name", ["impact_groups", "impact_direct", "known_occurrences", "weight_candidates", "scip_round_trip"])
 def test_query_equals_sql_on_repeated_tables(spark, repeated, name):
     to, con = repeated
     got, want = Q.queries()[name](spark, to).toPandas(), con.execute(Q.oracle_sql()[name]).df()
@@ -127,6 +127,14 @@ def test_weights_of_a_name_are_never_shuffled_per_reference(spark):
     assert plan.index("Join") < plan.index("Window")
 
 
+def test_scip_round_trip_brings_nothing_together(spark):
+    """Neither all documents in one row nor all source texts on the driver."""
+    plan = Q.queries()["scip_round_trip"](spark, SF)._jdf.queryExecution().toString()
+    joins = [line for line in plan.partition("== Physical Plan ==")[2].splitlines() if "collect_list(document" in line or "repeat(" in line and "BroadcastExchange" in line]
+    last = next(line for line in plan.partition("== Physical Plan ==")[2].splitlines() if "Join" in line)
+    assert not joins and "SortMergeJoin" in last
+
+
 def tarjan_like(edges):
     nodes = {n for e in edges for n in e}
     reach = {n: set() for n in nodes}
