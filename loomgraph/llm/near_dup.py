@@ -1,6 +1,7 @@
 """Near-duplicates by similarity: documents whose sets of five-word shingles have a Jaccard similarity of SIMILARITY or more.
 
-MinHash bands bring candidates together: of two sets at similarity 0.8 each of 32 bands of five hashes is equal with probability
+Two methods bring candidates together. SimHash fingerprints of the shingles at 4 or fewer differing bits (op2's pigeonhole keys) give
+the nearest ones. At similarity 0.8 fingerprints differ in some 10 of 64 bits, so MinHash bands add the others: of two sets at similarity 0.8 each of 32 bands of five hashes is equal with probability
 0.33, so such a pair misses all bands with probability 3e-6, and a nearer one less often. Every link is verified on the whole
 sets of 64-bit shingle hashes. Equal sets are one node, so copies never meet each other. Within a bucket a few nodes a round are
 compared with all nodes outside their component, then leave it; it is done when the rest share a component. So the links join
@@ -19,13 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, lookup, release, texts
-from .graph import components
+from .graph import grown
+from . import simhash
 from .simhash import keep_rows, least_row, row_key
 
 SHINGLE, SIMILARITY = 5, (4, 5)
 BANDS, ROWS, SEED = 32, 5, 11
 FIRST = 4  # bands whose buckets are looked at before the others
-CACHED, VERIFY_ROWS = 500_000, 128
+CACHED, VERIFY_ROWS = 100_000, 128
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,6 +66,14 @@ def node_of(s: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(s.tobytes(), SEED)).view(np.int64)) if len(s) else 0
 
 
+def fingerprint(s: np.ndarray) -> int:
+    """The set's SimHash, a signed long: bits that over half of its hashes have; 0 for the empty set."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(s), 4096):
+        ones += np.unpackbits(s[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(s), bitorder="little").view("<i8")[0])
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sorted sets have the similarity."""
     p, q = SIMILARITY
@@ -73,7 +83,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def signed(df: DataFrame) -> DataFrame:
-    """(doc_id, k1, k2, node, n, keys): the row's hashes, its set's name and size, and the set's band keys."""
+    """(doc_id, k1, k2, node, n, fp, keys): the row's hashes, its set's name, size and fingerprint, and the set's band keys."""
 
     def run(batches):
         shingles, r = shingler(), np.random.default_rng(SEED)
@@ -81,11 +91,12 @@ def signed(df: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, fps, keys = [], [], [], []
             for t in b.column("text").to_pylist():
                 s = shingles(t)
                 nodes.append(node_of(s))
                 sizes.append(len(s))
+                fps.append(fingerprint(s))
                 low = np.full(BANDS * ROWS, ~np.uint64(0))
                 for k in range(0, len(s), 1024):
                     low = np.minimum(low, (s[k : k + 1024, None] * times + plus).min(0))
@@ -94,12 +105,12 @@ def signed(df: DataFrame) -> DataFrame:
                     key = _mix(key + c)
                 keys.append(key.view(np.int64))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), flat], names=["doc_id", "k1", "k2", "node", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), flat], names=["doc_id", "k1", "k2", "node", "n", "fp", "keys"])
 
     k1, k2 = row_key(df)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), text)
-    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, node long, n int, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, node long, n int, fp long, keys array<long>")
 
 
 def sets(df: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -176,32 +187,45 @@ def next_pairs(buckets: DataFrame, roots: DataFrame, heads: int) -> tuple[DataFr
     return pairs, cut(rest)
 
 
-def links(df: DataFrame, per: DataFrame, first: int = FIRST) -> DataFrame:
-    """Verified edges (a, b) between nodes.
+def hashed_pairs(per: DataFrame) -> DataFrame:
+    """(a, b): nodes by SimHash. Each node with the least of its fingerprint, and those of fingerprints that links join."""
+    nodes = per.where("n > 0").select("node", "fp")
+    least = cut(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")))
+    same = least.where("n > 1").join(nodes, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    a, b = (least.select(F.col("fp").alias(x), F.col("least").alias("least_" + x)) for x in "ab")
+    near = simhash.links(least.select("fp")).join(a, "a").join(b, "b").select(F.least("least_a", "least_b").alias("a"), F.greatest("least_a", "least_b").alias("b"))
+    return cut(same.union(near).distinct())
+
 
-    A few bands' buckets are looked at first: each node with its bucket's least. That joins most of what belongs together, so in
-    the buckets of all bands only nodes of different components are left to compare.
+def linked(df: DataFrame, per: DataFrame, first: int = FIRST) -> DataFrame:
+    """(node, root) of the nodes that verified links join with others: root is the least node of the component.
+
+    SimHash pairs and a few bands' buckets, each node with its bucket's least, are looked at first. That joins most of what belongs
+    together, so in the buckets of all bands only nodes of different components are left to compare.
     """
+    near = hashed_pairs(per)
+    release(df.sparkSession)
     keyed = cut(per.where("n > 0").select("node", F.col("n").alias("size"), F.posexplode("keys").alias("band", "key")))
     shared = keyed.groupBy("key").agg(F.count("*").alias("nodes")).where("nodes > 1").select("key")
     buckets = cut(joined(keyed, shared, keyed.count()).select("key", "node", "size", "band"))
     del keyed
     release(df.sparkSession)
-    known = cut(sets(df, buckets.select("node").distinct()))
-    edges = verified(first_pairs(buckets.where(F.col("band") < first)), known)
+    known = cut(sets(df, buckets.select("node").union(near.select("a")).union(near.select("b")).distinct()))
+    pairs = near.union(first_pairs(buckets.where(F.col("band") < first))).distinct()
+    roots = grown(None, verified(pairs, known))
     buckets, heads = buckets.drop("band"), 1
     while not buckets.isEmpty():
-        pairs, buckets = next_pairs(buckets, components(edges), heads)
-        edges = cut(edges.union(verified(pairs, known)))
+        pairs, buckets = next_pairs(buckets, roots, heads)
+        roots = grown(roots, verified(pairs, known))
         release(df.sparkSession)
         heads *= 2
-    return edges
+    return roots
 
 
 def keep_one(df: DataFrame, first: int = FIRST) -> DataFrame:
     """The rows of ``df``, all columns as they are, of which one of each near-duplicate group stays: the row with the least
     doc_id, rows without one last; of different texts with that doc_id the one whose hash is least."""
-    per = cut(signed(df).groupBy("node").agg(least_row().alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    roots = components(links(df, per, first))
+    per = cut(signed(df).groupBy("node").agg(least_row().alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    roots = linked(df, per, first)
     kept = per.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     return keep_rows(df, kept.select("first.k1", "first.k2"))

@@ -311,3 +311,31 @@ def test_pipeline_near_duplicates_equal_brute_force_jaccard(spark, first):
 
         assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()} == expected | {None}
     assert near_dup.keep_one(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("local_edges", [0, 1000])
+def test_components_grow(spark, local_edges):
+    r = random.Random(5)
+    steps = [[(r.randrange(60), r.randrange(60)) for _ in range(18)] for _ in range(3)] + [[]]
+    roots, so_far = None, []
+    for step in steps:
+        so_far += step
+        roots = graph.grown(roots, spark.createDataFrame(step, "a long, b long"), local_edges)
+        want = {(x.node, x.root) for x in graph.components(spark.createDataFrame(so_far, "a long, b long")).collect()}
+        assert sorted(map(tuple, roots.collect())) == sorted(want)
+
+
+def test_pipeline_near_duplicates_go_through_simhash(spark):
+    r = random.Random(3)
+    texts = []
+    for _ in range(5):
+        words = [f"w{r.randrange(900)}" for _ in range(400)]
+        texts += [" ".join(words), " ".join(words[:-1] + ["other"])]
+    shingles = near_dup.shingler()
+    sets = [shingles(t) for t in texts]
+    at = {near_dup.node_of(s): k for k, s in enumerate(sets)}
+    prints = [near_dup.fingerprint(s) for s in sets]
+    close = {(i, j) for i in range(10) for j in range(i) if ((prints[i] ^ prints[j]) & (1 << 64) - 1).bit_count() <= 4}
+    per = near_dup.signed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {(max(at[x.a], at[x.b]), min(at[x.a], at[x.b])) for x in near_dup.hashed_pairs(per).collect()}
+    assert len(close) >= 4 and got == close
