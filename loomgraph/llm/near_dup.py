@@ -3,9 +3,10 @@
 Two methods bring candidates together. SimHash fingerprints of the shingles at 4 or fewer differing bits (op2's pigeonhole keys) give
 the nearest ones. At similarity 0.8 fingerprints differ in some 10 of 64 bits, so MinHash bands add the others: of two sets at similarity 0.8 each of 32 bands of five hashes is equal with probability
 0.33, so such a pair misses all bands with probability 3e-6, and a nearer one less often. Every link is verified on the whole
-sets of 64-bit shingle hashes. Equal sets are one node, so copies never meet each other. Within a bucket a few nodes a round are
-compared with all nodes outside their component, then leave it; it is done when the rest share a component. So the links join
-exactly what chains of verified candidates join. No bucket is brought together in one task.
+sets of 64-bit shingle hashes. Equal sets are one node, so copies never meet each other. First each node meets the least one of its
+bucket in a few bands. Then every bucket that still spans components goes, with its nodes' sets, to tasks that compare all its pairs
+from different components once: a bucket over BLOCK nodes in pairs of parts of it, so no bucket is brought together in one task,
+and no row is made for a pair. So the links join exactly what chains of verified candidates join, in two steps at every size.
 
 Null texts are empty; texts without words are copies of each other, a text of fewer than five words is one shingle. Rows with
 a null doc_id take part and come last. An empty table gives no rows.
@@ -17,9 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import cut, lookup, release, texts
+from .common import cut, lookup, release, shuffle_partitions
 from .graph import grown
 from . import simhash
 from .simhash import keep_rows, least_row, row_key
@@ -28,6 +28,8 @@ SHINGLE, SIMILARITY = 5, (4, 5)
 BANDS, ROWS, SEED = 32, 5, 11
 FIRST = 4  # bands whose buckets are looked at before the others
 CACHED, VERIFY_ROWS = 100_000, 128
+BLOCK = 256  # nodes of a bucket in one part
+DENSE, COLUMNS = 4_000_000, 4096  # hashes of sets that are compared as a matrix, and its columns at a time
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -113,23 +115,67 @@ def signed(df: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, node long, n int, fp long, keys array<long>")
 
 
+def common(s: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many hashes the sets of each pair (a, b) share."""
+    total = sum(map(len, s))
+    if len(a) > 4 * len(s) and total <= DENSE:
+        row = np.repeat(np.arange(len(s)), [len(x) for x in s])
+        _, col, often = np.unique(np.concatenate(s), return_inverse=True, return_counts=True)
+        kept = often > 1
+        width = int(kept.sum())
+        if len(a) > len(s) ** 2 * width // 150_000:  # else pair by pair is faster
+            row, col = row[kept[col]], (np.cumsum(kept) - 1)[col[kept[col]]]
+            order = np.argsort(col, kind="stable")
+            row, col = row[order], col[order]
+            met = np.zeros((len(s), len(s)), np.float32)
+            for k in range(0, width, COLUMNS):
+                i, j = np.searchsorted(col, [k, k + COLUMNS])
+                m = np.zeros((len(s), min(COLUMNS, width - k)), np.float32)
+                m[row[i:j], col[i:j] - k] = 1
+                met += m @ m.T
+            return met[a, b].astype(np.int64)
+    return np.array([len(np.intersect1d(s[x], s[y], assume_unique=True)) for x, y in zip(a, b)], np.int64)
+
+
+def links(roots: np.ndarray, part: np.ndarray, keys: np.ndarray, s: list[np.ndarray], band: int, crossed: bool) -> np.ndarray:
+    """Pairs of roots that similar nodes of a bucket of ``band`` join, those of different parts if ``crossed``. Nodes that an
+    earlier band has in one bucket too have met there."""
+    p, q = SIMILARITY
+    n = np.array([len(x) for x in s], np.int64)
+    meet = np.triu(roots[:, None] != roots, 1) & (q * np.minimum(n[:, None], n) >= p * np.maximum(n[:, None], n))
+    if crossed:
+        meet &= part[:, None] != part
+    for k in range(band):
+        meet &= keys[:, k, None] != keys[:, k]
+    a, b = np.nonzero(meet)
+    ok = (p + q) * common(s, a, b) >= p * (n[a] + n[b])
+    return np.unique(np.sort(np.stack([roots[a[ok]], roots[b[ok]]]), axis=0), axis=1)
+
+
 def sets(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, s): the sets of the wanted nodes."""
+    """(node, keys, s): the sets of the nodes that ``wanted`` (k1, k2, node, keys) names by one row of ``df`` each."""
 
     def run(batches):
-        shingles, seen = shingler(), set()
+        shingles = shingler()
         for b in batches:
-            nodes, out = [], []
-            for t in b.column("text").to_pylist():
-                s = shingles(t)
-                node = node_of(s)
-                if node not in seen:
-                    seen.add(node)
-                    nodes.append(node)
-                    out.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.binary())], names=["node", "s"])
+            out = [shingles(t).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("keys"), pa.array(out, pa.binary())], names=["node", "keys", "s"])
 
-    return texts(df).mapInArrow(run, "node long, s binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    k1, k2 = row_key(df)
+    rows = df.select(k1.alias("k1"), k2.alias("k2"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = rows.join(wanted, ["k1", "k2"]).dropDuplicates(["node"]).select("node", "keys", "text")
+    return found.mapInArrow(run, "node long, keys array<long>, s binary")
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, a mapping of rows that hold whole sets, cut with VERIFY_ROWS rows a batch."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = conf.get(name)
+    conf.set(name, str(VERIFY_ROWS))
+    try:
+        return cut(df)
+    finally:
+        conf.set(name, usual)
 
 
 def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -141,13 +187,7 @@ def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(known.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    conf, name = pairs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    usual = conf.get(name)
-    conf.set(name, str(VERIFY_ROWS))  # a batch holds two whole sets a row
-    try:
-        return cut(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
-    finally:
-        conf.set(name, usual)
+    return small_batches(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
 def fits(x: str, y: str) -> Column:
@@ -170,21 +210,45 @@ def first_pairs(buckets: DataFrame) -> DataFrame:
     return met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
 
 
-def next_pairs(buckets: DataFrame, roots: DataFrame, heads: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b) of up to ``heads`` nodes of each bucket, one of each of its smallest components, with the bucket's nodes outside of
-    theirs; and the buckets that still span components, without those nodes."""
-    total = buckets.count()
-    labelled = cut(buckets.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")))
-    per = labelled.groupBy("key", "root").agg(F.count("*").alias("members"), F.min(F.struct("node", "size")).alias("m"))
-    spans = per.groupBy("key").agg(F.count("*").alias("roots")).where("roots > 1").select("key")
-    open_ = cut(joined(labelled, spans, total))
-    order = Window.partitionBy("key").orderBy("members", "root")
-    chosen = per.join(spans, "key", "left_semi").withColumn("r", F.row_number().over(order)).where(F.col("r") <= heads)
-    chosen = cut(chosen.select("key", F.col("m.node").alias("head"), F.col("m.size").alias("head_size"), F.col("root").alias("head_root")))
-    met = joined(open_, chosen, total).where((F.col("root") != F.col("head_root")) & fits("size", "head_size"))
-    pairs = met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-    rest = open_.join(chosen.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti").select("key", "node", "size")
-    return pairs, cut(rest)
+def bucket_links(buckets: DataFrame, roots: DataFrame, known: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b): the roots of components that similar nodes of one bucket join.
+
+    Of buckets with the same nodes that of the least band stands for all. A bucket of more than ``block`` nodes is dealt into parts,
+    and each of its nodes meets every part.
+    """
+
+    def run(batches):
+        at, rows = None, []
+
+        def found():
+            r, part, band, keys, s = zip(*rows)
+            sets_ = [np.frombuffer(x.as_buffer(), np.uint64) for x in s]
+            got = links(np.array(r), np.array(part), np.stack([k.values.to_numpy() for k in keys]), sets_, band[0], at[1] != at[2])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], names=["a", "b"])
+
+        for b in batches:
+            names = list(zip(*(b.column(c).to_pylist() for c in ("key", "i", "j"))))
+            row = zip(*(b.column(c).to_pylist() for c in ("root", "part", "band")), b.column("keys"), b.column("s"))
+            for name, (root, part, band, keys, s) in zip(names, row):
+                if name != at:
+                    if len(rows) > 1:
+                        yield found()
+                    at, rows = name, []
+                rows.append((root, part, band, keys, s))
+        if len(rows) > 1:
+            yield found()
+
+    labelled = cut(buckets.join(roots, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root")))
+    second = F.xxhash64(F.lit("second"), "node")
+    per = labelled.groupBy("key").agg(F.min("band").alias("band"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(second).alias("y"), F.min("root").alias("least"), F.max("root").alias("most"))
+    open_ = per.where("least <> most").groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("m"))
+    facts = cut(open_.select("m.key", "n", F.ceil(F.col("n") / block).cast("int").alias("parts")))
+    rows = lookup(labelled, facts, "key", labelled.count()).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "node"), "parts").cast("int"))
+    dealt = rows.select("key", "band", "node", "root", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("key", "band", "node", "root", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    place = ["key", "i", "j"]
+    met = dealt.join(known, "node").repartition(shuffle_partitions(buckets.sparkSession), *place).sortWithinPartitions(*place)
+    return small_batches(met.select(*place, "band", "root", "part", "keys", "s").mapInArrow(run, "a long, b long"))
 
 
 def hashed_pairs(per: DataFrame) -> DataFrame:
@@ -197,7 +261,7 @@ def hashed_pairs(per: DataFrame) -> DataFrame:
     return cut(same.union(near).distinct())
 
 
-def linked(df: DataFrame, per: DataFrame, first: int = FIRST) -> DataFrame:
+def linked(df: DataFrame, per: DataFrame, first: int = FIRST, block: int = BLOCK) -> DataFrame:
     """(node, root) of the nodes that verified links join with others: root is the least node of the component.
 
     SimHash pairs and a few bands' buckets, each node with its bucket's least, are looked at first. That joins most of what belongs
@@ -205,27 +269,23 @@ def linked(df: DataFrame, per: DataFrame, first: int = FIRST) -> DataFrame:
     """
     near = hashed_pairs(per)
     release(df.sparkSession)
-    keyed = cut(per.where("n > 0").select("node", F.col("n").alias("size"), F.posexplode("keys").alias("band", "key")))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("nodes")).where("nodes > 1").select("key")
-    buckets = cut(joined(keyed, shared, keyed.count()).select("key", "node", "size", "band"))
-    del keyed
+    keyed = per.where("n > 0").select("node", F.col("n").alias("size"), F.posexplode("keys").alias("band", "key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = cut(lookup(keyed, cut(shared), "key", BANDS * per.count()).select("key", "node", "size", "band"))
+    release(df.sparkSession)
+    nodes = buckets.select("node").union(near.select("a")).union(near.select("b")).distinct()
+    known = cut(sets(df, per.join(nodes, "node", "left_semi").select("first.k1", "first.k2", "node", "keys")))
     release(df.sparkSession)
-    known = cut(sets(df, buckets.select("node").union(near.select("a")).union(near.select("b")).distinct()))
     pairs = near.union(first_pairs(buckets.where(F.col("band") < first))).distinct()
     roots = grown(None, verified(pairs, known))
-    buckets, heads = buckets.drop("band"), 1
-    while not buckets.isEmpty():
-        pairs, buckets = next_pairs(buckets, roots, heads)
-        roots = grown(roots, verified(pairs, known))
-        release(df.sparkSession)
-        heads *= 2
-    return roots
+    release(df.sparkSession)
+    return grown(roots, bucket_links(buckets, roots, known, block))
 
 
-def keep_one(df: DataFrame, first: int = FIRST) -> DataFrame:
+def keep_one(df: DataFrame, first: int = FIRST, block: int = BLOCK) -> DataFrame:
     """The rows of ``df``, all columns as they are, of which one of each near-duplicate group stays: the row with the least
     doc_id, rows without one last; of different texts with that doc_id the one whose hash is least."""
     per = cut(signed(df).groupBy("node").agg(least_row().alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
-    roots = linked(df, per, first)
+    roots = linked(df, per, first, block)
     kept = per.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     return keep_rows(df, kept.select("first.k1", "first.k2"))

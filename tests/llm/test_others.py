@@ -339,3 +339,28 @@ def test_pipeline_near_duplicates_go_through_simhash(spark):
     per = near_dup.signed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     got = {(max(at[x.a], at[x.b]), min(at[x.a], at[x.b])) for x in near_dup.hashed_pairs(per).collect()}
     assert len(close) >= 4 and got == close
+
+
+def test_pipeline_near_duplicates_take_two_steps_at_every_size(spark, monkeypatch):
+    texts = [edited(words(150, 1), (30, 40, 50, 70)[k % 4], k) for k in range(60)]  # buckets of many components
+    shingles, calls, real = near_dup.shingler(), [], near_dup.verified
+    sets = [shingles(t) for t in texts]
+    monkeypatch.setattr(near_dup, "verified", lambda *x: calls.append(0) or real(*x))
+    seen = set()
+    for n, block in ((6, 256), (60, 256), (60, 7)):
+        calls.clear()
+        up = list(range(n))
+        for _ in range(n):
+            up = [min([up[i], *(up[j] for j in range(n) if near_dup.similar(sets[i], sets[j]))]) for i in range(n)]
+        df = spark.createDataFrame(list(enumerate(texts[:n])), "doc_id long, text string")
+        assert sorted(r.doc_id for r in near_dup.keep_one(df, 1, **({"block": block} if block != 256 else {})).collect()) == sorted(set(up))
+        seen.add(len(calls))
+    assert 5 < len(set(up)) < 55 and seen == {1}
+
+
+def test_pipeline_near_duplicates_share_counts():
+    r = np.random.default_rng(2)
+    for n, pool in ((12, 40), (60, 5000), (3, 10)):
+        s = [np.unique(r.integers(0, pool, 30, dtype=np.uint64)) for _ in range(n)]
+        a, b = np.triu_indices(n, 1)
+        assert near_dup.common(s, a, b).tolist() == [len(set(s[x].tolist()) & set(s[y].tolist())) for x, y in zip(a, b)]
