@@ -270,8 +270,8 @@ def linked(df: DataFrame, per: DataFrame, first: int = FIRST, block: int = BLOCK
     near = hashed_pairs(per)
     release(df.sparkSession)
     keyed = per.where("n > 0").select("node", F.col("n").alias("size"), F.posexplode("keys").alias("band", "key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = cut(lookup(keyed, cut(shared), "key", BANDS * per.count()).select("key", "node", "size", "band"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("nodes")).where("nodes > 1")
+    buckets = cut(keyed.join(shared, "key", "left_semi").select("key", "node", "size", "band"))
     release(df.sparkSession)
     nodes = buckets.select("node").union(near.select("a")).union(near.select("b")).distinct()
     known = cut(sets(df, per.join(nodes, "node", "left_semi").select("first.k1", "first.k2", "node", "keys")))
