@@ -2,11 +2,13 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from loomgraph.llm import ann, chat, graph, near_dup, packing, queries, simhash, suffix_dedup, toxicity, url_filter
+from loomgraph.llm import ann, chat, common, graph, near_dup, packing, queries, simhash, suffix_dedup, toxicity, url_filter
 
 from .fixtures import words
 
@@ -29,6 +31,21 @@ def test_components_equal_union_find(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_cut_leaves_no_shuffle_files(spark):
+    """Without waiting for the driver to collect its garbage: the table is referred to all the time."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    df = spark.range(5000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    old = files()
+    out = common.cut(df)
+    for _ in range(50):
+        if files() <= old:
+            break
+        time.sleep(0.1)
+    assert files() <= old and spark.conf.get(common.FILE_CLEANUP, None) is None
+    assert sorted(out.collect()) == sorted(df.collect()) and df.collect() == df.collect()  # the table itself can still be run
+
+
 URLS = [
     (1, "http://A.Example.COM/en/7x?q=1", "a.example.com", "/en/7x", "example.com/en/7", "allow"), (2, "https://example.com/en/8", "example.com", "/en/8", "com/en/", "block"),
     (3, "https://shop.net/de/1#t", "shop.net", "/de/1", "net/de/", "block"), (4, "https://x.example.net/de/81", "x.example.net", "/de/81", "example.net/de/8", "allow"),
