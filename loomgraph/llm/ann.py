@@ -31,6 +31,7 @@ TOP, NEIGHBOURS, WIDTH = 20, 24, 48
 TREES, BLOCK, EMIT = 6, 512, 6
 STILL = 0.01  # the descent ends when a smaller share of the edges is new
 BEAM, STEP_EMIT, POOL = 64, 32, 256
+ROUNDS = 2  # search rounds a job; a plan of r rounds has 2^r - 1 of them in it, whose shuffles are shared
 SEED = 7
 
 _EDGE = "u long, w long, sim float, fresh boolean"
@@ -173,8 +174,8 @@ def both_ways(graph: DataFrame, width: int) -> DataFrame:
 
 def descend(graph: DataFrame, coded: DataFrame, k: int, width: int, emit: int) -> DataFrame:
     """One NN-descent round: neighbours of a node meet there, new ones with all, old ones with new ones."""
-    met = both_ways(graph, width)
-    live = met.groupBy("v").agg(F.bool_or("fresh").alias("any")).where("any").select("v")
+    # nodes without a new neighbour leave here, by a window over the rows as they lie already: no second table, shuffle or sort
+    met = both_ways(graph, width).withColumn("live", F.max("fresh").over(Window.partitionBy("v"))).where("live").drop("live")
     known = coded.select(F.col("id").alias("m"), "q").join(graph.groupBy(F.col("u").alias("m")).agg(F.min("sim").alias("limit")), "m", "left")
 
     def meet(t: pa.Table):
@@ -199,7 +200,7 @@ def descend(graph: DataFrame, coded: DataFrame, k: int, width: int, emit: int) -
             if len(row):
                 yield _edges(ids[at][row], ids[at][best[row, col]], value[row, col])
 
-    found = grouped(met.join(live, "v", "left_semi").join(known, "m"), "v", lambda t: joined(meet(t)), _EDGE)
+    found = grouped(met.join(known, "m"), "v", lambda t: joined(meet(t)), _EDGE)
     return cut(best_per_node(graph.withColumn("fresh", F.lit(False)).unionByName(found), k))
 
 
@@ -284,10 +285,10 @@ def directions(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "v").mapInArrow(run, "u long, own binary")
 
 
-def search(graph: DataFrame, coded: DataFrame, own: DataFrame, beam: int, keep: int, width: int, emit: int) -> DataFrame:
+def search(graph: DataFrame, coded: DataFrame, own: DataFrame, beam: int, keep: int, width: int, emit: int, rounds: int = ROUNDS) -> DataFrame:
     """(u, w): each query node's nearest nodes by greedy search from the node itself, until its ``keep`` best have all been visited.
 
-    own: the queries, from directions().
+    own: the queries, from directions(). rounds: how many rounds go into one job; they share the shuffles of the node table.
     """
     node = cut(packed(graph, coded, width))
     own = cut(own)
@@ -309,10 +310,13 @@ def search(graph: DataFrame, coded: DataFrame, own: DataFrame, beam: int, keep:
             if out_u:
                 yield _edges(np.concatenate(out_u), np.concatenate(out_w), np.concatenate(out_s))
 
+    # a round without a frontier changes nothing, so it doesn't matter where among the rounds the state is written
     while not state.where("frontier").isEmpty():
-        ahead = state.where("frontier").select("u", F.col("w").alias("id")).join(own, "u").join(node, "id").select("u", "own", "ids", "block")
-        found = ahead.mapInArrow(visit, _EDGE).drop("fresh").withColumn("visited", F.lit(False))
-        state = cut(ranked(state.drop("frontier").unionByName(found), beam, keep))
+        for _ in range(rounds):
+            ahead = state.where("frontier").select("u", F.col("w").alias("id")).join(own, "u").join(node, "id").select("u", "own", "ids", "block")
+            found = ahead.mapInArrow(visit, _EDGE).drop("fresh").withColumn("visited", F.lit(False))
+            state = ranked(state.drop("frontier").unionByName(found), beam, keep)
+        state = cut(state)
     return state.select("u", "w")
 
 
@@ -371,7 +375,7 @@ def _least_members(same: DataFrame, k: int) -> DataFrame:
     n = shuffle_partitions(same.sparkSession)
     part = same.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(n)))
     part = part.withColumn("r", F.row_number().over(Window.partitionBy("id", "salt").orderBy("vec_id"))).where(F.col("r") <= k)
-    return cut(part.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("vec_id"))).where(F.col("r") <= k).select("id", "vec_id"))
+    return part.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("vec_id"))).where(F.col("r") <= k).select("id", "vec_id")
 
 
 def best_by_score(found: DataFrame, classes: DataFrame, top: int) -> DataFrame:

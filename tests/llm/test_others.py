@@ -246,6 +246,26 @@ def test_neighbours_are_found(spark, norms):
     assert hits / (20 * len(want)) >= 0.9
 
 
+def test_neighbour_rounds_write_fewer_tables(spark, monkeypatch):
+    """Search rounds share jobs with the same result; a descent round meets its neighbours once, without a second table of live nodes."""
+    written = []
+    monkeypatch.setattr(ann, "cut", lambda df: written.append(df._jdf.queryExecution().optimizedPlan().toString()) or common.cut(df))
+    x = np.random.default_rng(5).standard_normal((400, 8))
+    nodes = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    coded = common.cut(ann.quantised(nodes, 8))
+    graph = ann.first_graph(coded, 8, 400, 6, 2, 32)
+    written.clear()
+    graph = ann.descend(graph, coded, 6, 12, 6)
+    assert len(written) == 1 and "LeftSemi" not in written[0]
+    own = ann.directions(nodes.where("id % 20 = 0"))
+    found, tables = {}, {}
+    for rounds in (ann.ROUNDS, 1):
+        written.clear()
+        found[rounds] = sorted(ann.search(graph, coded, own, 4, 64, 12, 4, rounds).collect())
+        tables[rounds] = len(written) - 2  # without the packed nodes and the queries
+    assert found[ann.ROUNDS] == found[1] and tables[ann.ROUNDS] == -(-tables[1] // ann.ROUNDS) < tables[1]
+
+
 def test_neighbours_of_tiny_tables(spark):
     schema = "vec_id long, embedding array<float>"
     assert ann.nearest(spark.createDataFrame([], schema)).count() == 0
